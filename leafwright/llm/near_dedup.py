@@ -3,7 +3,7 @@
 Two small collections of HALVES hash keys are computed for each shingle set, each key of ROWS minima; every pair of a key
 of the one and a key of the other is a table of 2 * ROWS minima. So HALVES ** 2 tables cost 2 * HALVES * ROWS minima, about
 the square root of what separate tables would take. A pair with similarity s shares a table with probability
-(1 - (1 - s**ROWS)**HALVES)**2: 0.9996 at 0.8, 0.99998 at 0.85, with the defaults.
+(1 - (1 - s**ROWS)**HALVES)**2: 0.9996 at 0.8, 0.99999 at 0.85, with the defaults.
 
 Plan:
 1. One pass over the texts makes each document's set size, a 128-bit key of its full set and its half keys.
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import common, components, textvec
 
-ROWS, HALVES = 3, 12
+ROWS, HALVES = 4, 16
 PERCENT = 80
 
 
@@ -108,13 +108,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT, row
     )
     one = classes.select("id", F.posexplode("keys").alias("half", "key"))
     shared = one.groupBy("half", "key").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x < y").select("half", "key")
-    kept = one.join(shared, ["half", "key"], "left_semi").groupBy("id").agg(F.collect_list(F.struct("half", "key")).alias("h"))
+    # With 4 minima a half key that unrelated documents share is rare at any size, so few classes go on to the tables.
+    kept = common.save(one.join(shared, ["half", "key"], "left_semi").groupBy("id").agg(F.collect_list(F.struct("half", "key")).alias("h")), where, "kept")
     side = lambda c, low: F.filter(c, lambda h: (h["half"] < halves) if low else (h["half"] >= halves))
-    tables = common.save(
-        kept.select("id", F.explode(side("h", True)).alias("p"), side("h", False).alias("q")).select("id", "p", F.explode("q").alias("q")).select("id", F.xxhash64("p.half", "p.key", "q.half", "q.key").alias("t")), where, "tables"
-    )
-    heads = tables.groupBy("t").agg(F.min("id").alias("head"), F.max("id").alias("last")).where("head < last")
-    rows_in = tables.join(heads.select("t", "head"), "t")
+    tables = kept.select("id", F.explode(side("h", True)).alias("p"), side("h", False).alias("q")).select("id", "p", F.explode("q").alias("q")).select("id", F.xxhash64("p.half", "p.key", "q.half", "q.key").alias("t"))
+    heads = tables.groupBy("t").agg(F.min("id").alias("head"), F.max("id").alias("last")).where("head < last").select("t", "head")
+    rows_in = common.save(tables.join(heads, "t"), where, "rows")
     stars = common.save(rows_in.where("id > head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct(), where, "stars")
     ends = stars.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     sets = common.save(full_sets(docs, ends, width).distinct(), where, "sets")
@@ -122,7 +121,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT, row
     parts = common.save(components.connected(links, where), where, "parts-1")
 
     # Tables whose classes are not all in one component: their classes are joined exactly.
-    of = tables.join(heads.select("t"), "t", "left_semi").join(parts, "id", "left").select("t", "id", F.coalesce("component", "id").alias("component"))
+    of = rows_in.join(parts, "id", "left").select("t", "id", F.coalesce("component", "id").alias("component"))
     open_tables = of.groupBy("t").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("t")
     members = common.save(of.join(open_tables, "t", "left_semi").select("id", "component").distinct(), where, "members")
     found = common.save(_prefix_links(sets, members, percent, where), where, "found")
