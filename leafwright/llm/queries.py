@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dedup
+from . import bpe, common, near_dedup, quality, token_counts, toxicity
+
+MULTI = "byte_bpe_multi_50k.tiktoken"
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -18,8 +20,37 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_read(spark, sf_dir, "documents"), width=2)
 
 
+def op1_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade, tail probability and selection of every document."""
+    docs = _read(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, quality.grades(_read(spark, sf_dir, "labels"))))
+
+
+def op3_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The length histogram of all documents with its sums for every context limit."""
+    counted = token_counts.lengths(_read(spark, sf_dir, "documents"), common.tokenizer_file("byte_bpe_50k.tiktoken"), _pattern())
+    return token_counts.histogram(counted)
+
+
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text and the bytes they decode to, as digests."""
+    return bpe.encode(_read(spark, sf_dir, "documents"), common.tokenizer_file(MULTI), _pattern(), with_ids=False)
+
+
+def op5_zstd_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document by compression distance."""
+    docs = _read(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, _read(spark, sf_dir, "labels")))
+
+
+def _pattern() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_minhash_near_dedup": op2_minhash_near_dedup}
+    return {f.__name__: f for f in (op1_ordinal_quality, op2_minhash_near_dedup, op3_length_histogram, op4_byte_bpe, op5_zstd_toxicity)}
 
 
 #: DuckDB SQL where SQL can express a query.
@@ -35,8 +66,8 @@ pairs AS MATERIALIZED (
   SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
 links AS MATERIALIZED (
   SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
-both AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
-reach(id, c) AS (SELECT a, a FROM both UNION SELECT both.b, reach.c FROM reach JOIN both ON both.a = reach.id),
+sym AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(id, c) AS (SELECT a, a FROM sym UNION SELECT sym.b, reach.c FROM reach JOIN sym ON sym.a = reach.id),
 least AS (SELECT id, min(c) AS c FROM reach GROUP BY id)
 SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, coalesce(l.c, d.doc_id) AS component_id, d.doc_id = coalesce(l.c, d.doc_id) AS kept
 FROM documents d LEFT JOIN sizes s USING (doc_id) LEFT JOIN least l ON l.id = d.doc_id
