@@ -99,7 +99,7 @@ def pieces(batch: pa.RecordBatch, column: str = "text", most: int = PIECE_BYTES)
     yield batch.slice(start)
 
 
-def range_splits(df: DataFrame, column: str, rows_each: int = 20_000, most: int = 20_000) -> list:
+def range_splits(df: DataFrame, column: str, rows_each: int = 20_000, most: int = 4096) -> list:
     """Ascending split values of a numeric column, about rows_each rows apart; their number is bounded by most."""
     n, = df.agg(F.count(column)).first()
     parts = int(min(most, max(1, -(-n // rows_each))))

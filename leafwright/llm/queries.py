@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, common, near_dedup, quality, token_counts, toxicity
+from . import bpe, common, fingerprints, media, mixing, near_dedup, quality, token_counts, token_files, toxicity, warc
 
 MULTI = "byte_bpe_multi_50k.tiktoken"
 
@@ -43,6 +43,33 @@ def op5_zstd_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, _read(spark, sf_dir, "labels")))
 
 
+def op6_lempel_ziv_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and its edited text, and their likeness."""
+    return fingerprints.compare(_read(spark, sf_dir, "documents"))
+
+
+def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document the mix takes."""
+    return mixing.taken(_read(spark, sf_dir, "documents"))
+
+
+def op8_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids, written to wavelet matrix files and read back."""
+    manifest = token_files.write(_read(spark, sf_dir, "documents"), common.tokenizer_file("byte_bpe_50k.json"), common.scratch(spark))
+    return token_files.read(manifest)
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page, written to WARC archives and read back."""
+    return warc.read(warc.write(_read(spark, sf_dir, "pages"), common.scratch(spark)))
+
+
+def op10_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored as 8-bit audio, read back, with features."""
+    where = common.scratch(spark)
+    return media.features(media.store(_read(spark, sf_dir, "documents"), where), where)
+
+
 def _pattern() -> str:
     import public_tokenizers
 
@@ -50,7 +77,7 @@ def _pattern() -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ordinal_quality, op2_minhash_near_dedup, op3_length_histogram, op4_byte_bpe, op5_zstd_toxicity)}
+    return {f.__name__: f for f in (op1_ordinal_quality, op2_minhash_near_dedup, op3_length_histogram, op4_byte_bpe, op5_zstd_toxicity, op6_lempel_ziv_fingerprints, op7_mix_sources, op8_wavelet_tokens, op9_warc, op10_audio_features)}
 
 
 #: DuckDB SQL where SQL can express a query.
@@ -73,6 +100,15 @@ SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, coalesce(l.c, d.doc_id)
 FROM documents d LEFT JOIN sizes s USING (doc_id) LEFT JOIN least l ON l.id = d.doc_id
 """
 
+OP9_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+f AS (SELECT page_id, strlen(html) AS n, sha256(html) AS digest, min(page_id) OVER (PARTITION BY sha256(html)) AS least FROM p)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest,
+  CASE WHEN n >= 100 AND least <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 100 AND least <> page_id THEN least END AS refers_to
+FROM f
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_minhash_near_dedup": OP2_SQL}
+    return {"op2_minhash_near_dedup": OP2_SQL, "op9_warc": OP9_SQL}
