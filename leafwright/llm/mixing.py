@@ -18,6 +18,7 @@ all tasks. The driver sees one row a source (a mixture is a list of named source
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -142,6 +143,7 @@ def mix(docs: DataFrame, keep: list[str] | None = None, block: int = BLOCK, shar
     w = Window.partitionBy("sk", "part").orderBy(F.col("doc_id").asc_nulls_first(), "h").rowsBetween(Window.unboundedPreceding, -1)
     rows = placed.join(before, ["sk", "part"]).withColumn("start", F.col("before") + F.coalesce(F.sum("size").over(w), F.lit(0))).drop("part", "before", "h")
     rows = common.save(rows, where, "rows")
+    common.remove(spark, f"{where}/sized")
     sizes = [(None if r.sk == "n" else r.sk[1:], r.words) for r in sums.groupBy("sk").agg(F.sum("words").alias("words")).collect()]
     goal = targets(sizes)
     plans = [plan(s, n, goal[s], i, block) for i, (s, n) in enumerate(sorted(sizes, key=lambda s: (s[0] is None, s[0] or "")))]
@@ -187,30 +189,32 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     Words that follow each other keep the text between them; gaps become a line break. A document that is wholly taken keeps
     its whole text.
     """
-    columns = docs.columns
-    rows, slices, _ = mix(docs, keep=columns)
+    names = docs.columns
+    rows, slices, _ = mix(docs, keep=names)
     ranges = slices.groupBy("sk", "start", "pass").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("r"), F.sum(F.col("b") - F.col("a")).alias("n"))
     both = rows.where("size > 0").join(ranges, ["sk", "start"])
-    cut = both.where("n < size").select("sk", "start", "pass", F.col("_text").alias("text"), F.col("r.a").alias("a"), F.col("r.b").alias("b"))
-    import re
-
-    word = re.compile(r"[^\x20\x09-\x0D]+")
+    word = re.compile(WORD)
+
+    def words(text: str, a: list[int], b: list[int]) -> str:
+        at = [m.span() for m in word.finditer(text)]
+        joined: list[list[int]] = []
+        for x, y in zip(a, b, strict=True):
+            if joined and joined[-1][1] == x:
+                joined[-1][1] = y
+            else:
+                joined.append([x, y])
+        return "\n".join(text[at[x][0] : at[y - 1][1]] for x, y in joined)
 
     def run(batches):
         for batch in batches:
-            out = []
-            for text, a, b in zip(*(batch.column(i).to_pylist() for i in (3, 4, 5)), strict=True):
-                at = [m.span() for m in word.finditer(text)]
-                joined: list[list[int]] = []
-                for x, y in zip(a, b, strict=True):
-                    if joined and joined[-1][1] == x:
-                        joined[-1][1] = y
-                    else:
-                        joined.append([x, y])
-                out.append("\n".join(text[at[x][0] : at[y - 1][1]] for x, y in joined))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(out, pa.string())], names=["sk", "start", "pass", "part_text"])
-
-    part = cut.mapInArrow(run, "sk string, start long, pass long, part_text string")
-    full = both.join(part, ["sk", "start", "pass"], "left").withColumn("new", F.coalesce("part_text", "_text"))
-    new = {"text": F.col("new"), "n_chars": F.length("new").cast("long")}
-    return full.select(*[new.get(c, F.col(f"_{c}")).alias(c) for c in columns])
+            a, b, whole = (batch.column(len(names) + i).to_pylist() for i in range(3))
+            texts = batch.column(names.index("text")).to_pylist()
+            new = [t if w else words(t, x, y) for t, x, y, w in zip(texts, a, b, whole, strict=True)]
+            cols = list(batch.columns[: len(names)])
+            cols[names.index("text")] = pa.array(new, pa.string())
+            if "n_chars" in names:
+                cols[names.index("n_chars")] = pa.array([len(t) for t in new], pa.int64()).cast(cols[names.index("n_chars")].type)
+            yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    cut = both.select(*[F.col(f"_{c}").alias(c) for c in names], F.col("r.a").alias("_a"), F.col("r.b").alias("_b"), (F.col("n") == F.col("size")).alias("_whole"))
+    return cut.mapInArrow(run, docs.schema)

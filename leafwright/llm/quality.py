@@ -126,6 +126,21 @@ def score(docs: DataFrame, model: Model, cut: int = 1, at: float = 0.5) -> DataF
     return scored.select("doc_id", F.coalesce(common.held_out(), F.lit(False)).alias("held_out"), "expected_grade", "p_at_least", (F.col("p_at_least") >= at).alias("selected"))
 
 
+def select(docs: DataFrame, model: Model, cut: int = 1, at: float = 0.5) -> DataFrame:
+    """The rows of docs, with all their columns, whose tail probability of grade cut is at or more."""
+    common.ready(docs.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            for part in common.pieces(batch, most=1 << 20):
+                if cut - 1 < len(model.thresholds):
+                    p = model.tails(features(part.column(part.schema.get_field_index("text"))))[:, cut - 1]
+                    part = part.filter(pa.array(p >= at))
+                yield part
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def grades(labels: DataFrame) -> DataFrame:
     """Ratings from labels: 0 for poor quality, 1 for good but toxic text, 2 for good text; null quality has no rating."""
     return labels.select("doc_id", F.when(F.col("quality") == 0, 0).when(F.col("quality").isNotNull(), F.when(F.coalesce(F.col("toxic"), F.lit(0)) == 1, 1).otherwise(2)).alias("grade"))

@@ -28,13 +28,13 @@ def op1_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The length histogram of all documents with its sums for every context limit."""
-    counted = token_counts.lengths(_read(spark, sf_dir, "documents"), common.tokenizer_file("byte_bpe_50k.tiktoken"), _pattern())
+    counted = token_counts.lengths(_read(spark, sf_dir, "documents"), common.tokenizer_file("byte_bpe_50k.tiktoken"), pattern())
     return token_counts.histogram(counted)
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text and the bytes they decode to, as digests."""
-    return bpe.encode(_read(spark, sf_dir, "documents"), common.tokenizer_file(MULTI), _pattern(), with_ids=False)
+    return bpe.encode(_read(spark, sf_dir, "documents"), common.tokenizer_file(MULTI), pattern(), with_ids=False)
 
 
 def op5_zstd_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,14 +70,21 @@ def op10_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.features(media.store(_read(spark, sf_dir, "documents"), where), where)
 
 
-def _pattern() -> str:
+def pattern() -> str:
     import public_tokenizers
 
     return public_tokenizers.PATTERN
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus pipeline over documents."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ordinal_quality, op2_minhash_near_dedup, op3_length_histogram, op4_byte_bpe, op5_zstd_toxicity, op6_lempel_ziv_fingerprints, op7_mix_sources, op8_wavelet_tokens, op9_warc, op10_audio_features)}
+    return {f.__name__: f for f in (op1_ordinal_quality, op2_minhash_near_dedup, op3_length_histogram, op4_byte_bpe, op5_zstd_toxicity, op6_lempel_ziv_fingerprints, op7_mix_sources, op8_wavelet_tokens, op9_warc, op10_audio_features, pipeline)}
 
 
 #: DuckDB SQL where SQL can express a query.

@@ -152,3 +152,16 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(common.held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def select(docs: DataFrame, model: Model, below: float = 0.5) -> DataFrame:
+    """The rows of docs, with all their columns, whose score is under below."""
+    common.ready(docs.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            for part in common.pieces(batch):
+                texts = [t or b"" for t in part.column(part.schema.get_field_index("text")).cast(pa.binary()).to_pylist()]
+                yield part.filter(pa.array(model.score(texts) < below))
+
+    return docs.mapInArrow(run, docs.schema)
