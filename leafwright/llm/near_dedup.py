@@ -9,7 +9,8 @@ Plan:
 1. One pass over the texts makes each document's set size, a 128-bit key of its full set and its half keys.
 2. Documents with equal sets are one class; its least doc_id stands for it, so exact copies never meet as pairs.
 3. Half keys that only one class has cannot take part in a table and go; the rest are paired to table keys.
-4. In each table each class is compared with the table's least class: a star, not all pairs. Links are confirmed on full sets.
+4. In each table each class is compared with the table's least class: a star, not all pairs. Links are confirmed on full sets,
+   first with the least of these classes, then with the others where the two are not in one component yet.
 5. Classes that still share a table but no component are compared by an exact prefix-filter join (rarest shingles first),
    so that a link between two members that do not resemble the table's least one is not lost.
 6. Components by large-star / small-star over the confirmed links.
@@ -117,8 +118,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT, row
     stars = common.save(rows_in.where("id > head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct(), where, "stars")
     ends = stars.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     sets = common.save(full_sets(docs, ends, width).distinct(), where, "sets")
-    links = common.save(_confirm(stars, sets, percent), where, "links")
-    parts = common.save(components.connected(links, where), where, "parts-1")
+    # One pair a class first; the others only where these have not joined their ends already.
+    lead = stars.groupBy("a").agg(F.min("b").alias("b"))
+    first = common.save(_confirm(lead, sets, percent), where, "links-1")
+    parts = common.save(components.connected(first, where, "ca"), where, "parts-0")
+    label = lambda c: parts.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))
+    rest = stars.join(lead, ["a", "b"], "left_anti").join(label("a"), "a", "left").join(label("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    second = common.save(_confirm(rest, sets, percent), where, "links-2")
+    links = first.union(second)
+    if second.limit(1).count():
+        parts = common.save(components.connected(links, where), where, "parts-1")
 
     # Tables whose classes are not all in one component: their classes are joined exactly.
     of = rows_in.join(parts, "id", "left").select("t", "id", F.coalesce("component", "id").alias("component"))
