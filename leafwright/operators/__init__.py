@@ -1 +1 @@
-"""DataFrame -> DataFrame operators: joins, aggregations, windows, layout, state."""
+"""DataFrame -> DataFrame operators: pairs, terms, glossary, cache, jobs, layout, tables, repairs."""

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 FLAGSHIP = "pair_quality_by_conversation"
 #: Modules with QUERIES and ORACLES.
-MODULES: list[str] = []
+MODULES = ["pairs"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
