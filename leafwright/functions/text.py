@@ -261,10 +261,13 @@ def normalize_output(c: Column, mode: str = "unicode") -> Column:
         return chain(c, R.PLAIN_OUTPUT)
     if mode == "latex":
         return chain(unicode_to_latex(c), [(r"<sup>([^<]+)</sup>", "^{$1}"), (r"<sub>([^<]+)</sub>", "_{$1}"), (r"<b>([^<]+)</b>", r"\\textbf{$1}"), (r"<i>([^<]+)</i>", r"\\textit{$1}"), (r"</?[a-zA-Z][^>]*>", "")])
-    for tag, f in (("sup", to_superscript), ("sub", to_subscript)):
-        found = F.regexp_extract_all(c, F.lit(f"<{tag}>([^<]+)</{tag}>"), 1)
-        c = F.aggregate(found, c, lambda a, x, tag=tag, f=f: F.replace(a, F.concat(F.lit(f"<{tag}>"), x, F.lit(f"</{tag}>")), f(x)))
-    return chain(c, R.UNICODE_OUTPUT)
+    return chain(_raise_tag(_raise_tag(c, "sup", to_superscript), "sub", to_subscript), R.UNICODE_OUTPUT)
+
+
+def _raise_tag(c: Column, tag: str, f) -> Column:
+    """Each body of a tag by f, the tag gone."""
+    found = F.regexp_extract_all(c, F.lit(f"<{tag}>([^<]+)</{tag}>"), 1)
+    return F.aggregate(found, c, lambda a, x: F.replace(a, F.concat(F.lit(f"<{tag}>"), x, F.lit(f"</{tag}>")), f(x)))
 
 
 def unicode_to_latex(c: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 FLAGSHIP = "pair_quality_by_conversation"
 #: Modules with QUERIES and ORACLES.
-MODULES = ["pairs", "states"]
+MODULES = ["pairs", "states", "texts", "layouts"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
