@@ -60,8 +60,8 @@ class Bpe:
         tokens = pa.table({"id": pa.array(list(self.by_id), pa.int32()), "hex": [t.hex() for t in self.by_id.values()]})  # noqa: F841
         self.db.execute("CREATE TABLE merges AS SELECT (l::BIGINT << 20) | r AS pair, m::BIGINT << 10 AS m FROM parts")
         self.db.execute("CREATE TABLE tokens AS FROM tokens")
-        self.words = Cache(self.encode_words)
-        self.cache = Cache(self.encode_chunks)
+        self.words = Cache(self.encode_words, most=350_000)
+        self.cache = Cache(self.encode_chunks, most=350_000)
 
     def by_heap(self, word: bytes) -> list[int]:
         """The ids of one long word: pairs from a heap by rank and place, over a linked list of its parts."""
