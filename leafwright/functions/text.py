@@ -356,11 +356,15 @@ def set_babel(latex: Column, name: Column) -> Column:
     return F.concat(F.regexp_replace(F.regexp_extract(latex, r"(?s)\A(.*?)\\usepackage\[[^\]]*\]\{babel\}", 0), r"\\usepackage\[[^\]]*\]\{babel\}", ""), F.when(latex.rlike(r"\\usepackage\[[^\]]*\]\{babel\}"), F.concat(F.lit("\\usepackage["), babel_option(name), F.lit("]{babel}"))).otherwise(F.lit("")), F.regexp_replace(latex, r"(?s)\A.*?\\usepackage\[[^\]]*\]\{babel\}", ""))
 
 
+def _in_list(words: Column, known: list[str]) -> Column:
+    return F.size(F.filter(words, lambda w: w.isin(*known)))
+
+
 def guess_language(c: Column) -> Column:
     """I27 (default hook): the language with most stop words among the words; en where none has any."""
     stop = {"en": "the and of to in is that for with", "de": "der die und das ist von mit den ein", "fr": "le la les et des est une dans pour", "es": "el los las y que del una con por"}
     t = tokens(c)
-    votes = [F.struct(F.size(F.filter(t, lambda w, s=s: w.isin(*s.split()))).alias("n"), F.lit(-i).alias("rank"), F.lit(k).alias("lang")) for i, (k, s) in enumerate(stop.items())]
+    votes = [F.struct(_in_list(t, s.split()).alias("n"), F.lit(-i).alias("rank"), F.lit(k).alias("lang")) for i, (k, s) in enumerate(stop.items())]
     return F.array_max(F.array(*votes))["lang"]
 
 

@@ -92,7 +92,8 @@ def numbered_batch(items: Column) -> Column:
 
 def numbered_answers(answer: Column, items: Column, share: float = 0.3) -> Column:
     """The answers of a batch by number; an item keeps its text where its answer is missing or under 30 % of its length."""
-    got = F.map_from_entries(F.transform(F.array_distinct(F.regexp_extract_all(answer, F.lit(r"(?m)^\[(\d+)\]"), 1)), lambda n: F.struct(n.cast("int").alias("k"), F.regexp_extract(answer, F.concat(F.lit(r"(?ms)^\["), n, F.lit(r"\][ ]?(.*?)(?=^\[\d+\]|\z)")), 1).alias("v"))))
+    body = lambda n: F.call_function("regexp_extract", answer, F.concat(F.lit(r"(?ms)^\["), n, F.lit(r"\][ ]?(.*?)(?=^\[\d+\]|\z)")), F.lit(1))
+    got = F.map_from_entries(F.transform(F.array_distinct(F.regexp_extract_all(answer, F.lit(r"(?m)^\[(\d+)\]"), 1)), lambda n: F.struct(n.cast("int").alias("k"), body(n).alias("v"))))
     clean = lambda c: F.regexp_replace(c, r"\s+\z", "")
     return F.transform(items, lambda x, i: F.coalesce(F.when(F.length(clean(got[i + 1])) >= F.length(x) * share, clean(got[i + 1])), x))
 

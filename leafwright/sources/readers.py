@@ -16,7 +16,7 @@ BLOCKS = "doc_id long, page int, block_idx int, content string, translated strin
 LAYOUT = "page long, block long, text string, x double, y double, width double, height double, font_size double, is_bold boolean, font_name string"
 CACHE = "cache_key string, text string, translated string, language string, model string, created_at double, accessed_at double, access_count long"
 JOBS = "id string, input_path string, output_dir string, language string, model string, priority int, status string, progress double, quality double, seq long"
-CHECKPOINT = "job_id string, phase string, pages map<int,struct<page:int,complete:boolean,blocks:array<struct<block:int,text:string,complete:boolean>>>>, ts double"
+CHECKPOINT = "job_id string, phase string, pages map<string,struct<page:int,complete:boolean,blocks:array<struct<block:int,text:string,complete:boolean>>>>, ts double"
 GLOSSARY = "domain string, source_language string, target_language string, version string, terms map<string,string>, never_translate array<string>"
 EXTRACTED = "path string, page int, block int, text string, raw_text string, x double, y double, width double, height double, font_size double, is_bold boolean"
 
