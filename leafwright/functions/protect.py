@@ -84,7 +84,7 @@ def _udf(f: Callable[[str], object], kind: str):
         return pd.Series([None if x is None else f(x) for x in s], dtype="object")
 
     def frame(s: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([{"protected": None, "spans": []} if x is None else f(x) for x in s], columns=["protected", "spans"])
+        return pd.DataFrame([{"protected": None, "spans": []} if x is None else f(x) for x in s], columns=["protected", "spans"], dtype="object")
 
     own = frame if kind == PROTECTED else run
     own.__annotations__ = {"s": pd.Series, "return": pd.DataFrame if kind == PROTECTED else pd.Series}
@@ -309,7 +309,7 @@ def repair(c: Column, rules=None) -> Column:
         return t, actions
 
     def frame(s: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([(None, []) if x is None else run(x) for x in s], columns=["text", "actions"])
+        return pd.DataFrame([(None, []) if x is None else run(x) for x in s], columns=["text", "actions"], dtype="object")
 
     frame.__annotations__ = {"s": pd.Series, "return": pd.DataFrame}
     return F.pandas_udf(frame, ACTION)(c)

@@ -39,7 +39,7 @@ def extract(files: DataFrame, extractor: Callable[[str, bytes], Iterator[dict]])
                     rows += [{"path": path, **r} for r in extractor(path, content)]
                 except Exception as e:  # the hook's own failure is data
                     rows.append({"path": path, "raw_text": f"error: {e}"})
-            yield pd.DataFrame(rows, columns=names)
+            yield pd.DataFrame(rows, columns=names, dtype="object")
 
     return files.select("path", "content").mapInPandas(run, EXTRACTED)
 

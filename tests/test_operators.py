@@ -57,13 +57,13 @@ def test_sources(spark, tmp_path):
     (tmp_path / "f.pdf").write_bytes(b"one")
 
     def extractor(path, content):
-        if not content:
-            raise ValueError("empty")
+        if content == b"bad":
+            raise ValueError("unreadable")
         yield {"page": 0, "block": 0, "text": content.decode()}
 
-    (tmp_path / "e.pdf").write_bytes(b"")
+    (tmp_path / "e.pdf").write_bytes(b"bad")
     got = {r.text: r.raw_text for r in readers.extract(readers.documents(spark, str(tmp_path)), extractor).collect()}
-    assert got == {"one": None, None: "error: empty"}
+    assert got == {"one": None, None: "error: unreadable"}
     pages = frame(spark, "doc_id long, page int, text string", (1, 0, "1.\n\n─\n\nTable 1\tx\n\n  "))
     assert [r.content for r in readers.block_rows(pages).orderBy("block_idx").collect()] == ["1.", "Table 1\tx"]
 
