@@ -165,7 +165,9 @@ def mix(docs: DataFrame, keep: list[str] | None = None, block: int = BLOCK, shar
 
     schema = "sk string, block long, pass long, shard long, most long"
     each = spark.createDataFrame(chunks or [(0, 0, 0, 0)], "s long, h long, k long, c long").where("c > 0")
-    slots = each.repartition(min(max(1, len(chunks)), 512)).mapInArrow(run, schema)
+    total = sum(p.slots for p in plans)
+    # The hint: Spark takes the slots for as small as their chunk rows and would broadcast them, but they grow with the input.
+    slots = each.repartition(int(min(4096, max(1, total // 100_000)))).mapInArrow(run, schema).hint("merge")
     first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)
     pieces = rows.where("size > 0").select("sk", "start", "size", F.explode(F.sequence(first, last)).alias("block"))
     lo, hi = F.greatest(F.col("start"), F.col("block") * block), F.least(F.col("start") + F.col("size"), F.col("block") * block + F.col("most"))
