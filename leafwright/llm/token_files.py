@@ -120,7 +120,7 @@ class Wavelet:
 def _encoder(path: str) -> tuple[Joined, Cache]:
     if path not in _encoders:
         j = Joined(path)
-        _encoders[path] = j, Cache(j)
+        _encoders[path] = j, Cache(j, most=400_000)
     return _encoders[path]
 
 
