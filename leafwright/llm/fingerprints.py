@@ -5,7 +5,7 @@ phrases says what a dictionary compressor learns from the text; texts with like
 hashed, and the least value under each of FUNCTIONS hash functions makes the fingerprint (16 bits of each, in hex). The share
 of equal places of two fingerprints estimates the similarity of the phrase sets, so the likeness of compression.
 
-A parse is a running state, so a text and a text that shares its beginning share the parse of it. Null texts are empty and
+A parse is a running state, so a text and a text that shares its beginning share the parse and the minima of it. Null texts are empty and
 have a fingerprint of their own (no phrase); a text's last, unfinished phrase counts as one. Equal texts have equal
 fingerprints. Texts of any length are parsed whole, code point by code point.
 
@@ -25,56 +25,69 @@ from pyspark.sql import functions as F
 from . import common, textvec
 
 FUNCTIONS = 64
-_LEN = 4 * FUNCTIONS
 
 
 class Parse:
-    """The phrases of a text so far, and the unfinished one."""
+    """The phrases of a text so far, those that are new since the last fork, and the unfinished one (always a phrase already)."""
 
-    __slots__ = ("seen", "open")
+    __slots__ = ("seen", "new", "open")
 
     def __init__(self, seen: set | None = None, rest: str = ""):
-        self.seen, self.open = set() if seen is None else seen, rest
+        self.seen, self.new, self.open = set() if seen is None else seen, [], rest
 
     def feed(self, text: str) -> Parse:
         seen, w = self.seen, self.open
-        add = seen.add
+        add, found = seen.add, self.new.append
         for c in text:
             w += c
             if w not in seen:
                 add(w)
+                found(w)
                 w = ""
         self.open = w
         return self
 
     def fork(self) -> Parse:
+        """A parse that goes on from here by itself."""
         return Parse(self.seen.copy(), self.open)
 
-    def phrases(self) -> set[str]:
-        return self.seen  # an unfinished phrase is in the set already
-
 
 def _functions() -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.Generator(np.random.PCG64(20240608))
     return rng.integers(0, 1 << 63, FUNCTIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, FUNCTIONS, dtype=np.uint64)
 
 
-def signature(phrases: set[str], a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """16 bits of the least hash of the phrases under each function; 0 for no phrase."""
+_MOST = np.iinfo(np.uint64).max
+
+
+def minima(phrases, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least hash of the phrases under each function."""
+    least = np.full(FUNCTIONS, _MOST, np.uint64)
     if not phrases:
-        return np.zeros(FUNCTIONS, np.uint16)
+        return least
     raw = [p.encode("utf-8", "surrogatepass") for p in phrases]
     ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))
     flat = np.frombuffer(b"".join(raw), np.uint8)
-    least = np.full(FUNCTIONS, np.iinfo(np.uint64).max, np.uint64)
     with np.errstate(over="ignore"):
         h = textvec.word_hashes(flat, np.concatenate([[0], ends[:-1]]), ends, lower=False)
         for i in range(0, len(h), 2048):
             x = h[None, i : i + 2048] * a[:, None] + b[:, None]
             np.minimum(least, (x ^ (x >> np.uint64(31))).min(axis=1), out=least)
+    return least
+
+
+def finish(least: np.ndarray) -> np.ndarray:
+    """16 bits of each minimum; 0 for no phrase."""
+    if least[0] == _MOST and (least == _MOST).all():
+        return np.zeros(FUNCTIONS, np.uint16)
+    with np.errstate(over="ignore"):
         return (textvec.mix(least) >> np.uint64(48)).astype(np.uint16)
 
 
+def signature(phrases, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return finish(minima(phrases, a, b))
+
+
 def likeness(x: np.ndarray, y: np.ndarray) -> float:
     return float(np.count_nonzero(x == y)) / FUNCTIONS
 
@@ -90,7 +103,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     def run(batches):
         a, b = _functions()
         for batch in batches:
-            out = [_hex(signature(Parse().feed(t or "").phrases(), a, b)) for t in batch.column(1).to_pylist()]
+            out = [_hex(signature(Parse().feed(t or "").new, a, b)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["doc_id", "fingerprint"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fingerprint string")
@@ -123,12 +136,12 @@ def compare(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         a, b = _functions()
-        last = None  # part, doc_id, text, signature, parse of what stays of the text
+        last = None  # part, doc_id, text, signature, what stays of the text, its parse and minima
 
         def finished(row, text: str, s: np.ndarray):
-            _, doc, own, sig, kept, edited = row
+            _, doc, own, sig, kept, edited, least = row
             put = text[: len(own) // 2]
-            e = signature(edited.feed(put).phrases(), a, b)
+            e = finish(np.minimum(least, minima(edited.feed(put).new, a, b)))
             return doc, len(own), hashlib.sha256((kept + put).encode("utf-8", "surrogatepass")).hexdigest(), _hex(sig), _hex(e), likeness(sig, e), likeness(sig, s)
 
         for batch in batches:
@@ -136,11 +149,12 @@ def compare(docs: DataFrame) -> DataFrame:
             for part, doc, text, carry in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 kept = text[: len(text) - len(text) // 2]
                 parse = Parse().feed(kept)
-                edited = parse.fork()
-                s = signature(parse.feed(text[len(kept) :]).phrases(), a, b)
+                least, edited = minima(parse.new, a, b), parse.fork()
+                parse.new = []
+                s = finish(np.minimum(least, minima(parse.feed(text[len(kept) :]).new, a, b)))
                 if last is not None and last[0] == part:
                     rows.append(finished(last, text, s))
-                last = None if carry else (part, doc, text, s, kept, edited)
+                last = None if carry else (part, doc, text, s, kept, edited, least)
             if rows:
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()), strict=True)], names=names)
