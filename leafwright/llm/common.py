@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -48,6 +49,15 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def release(spark: SparkSession, where: str = "", *names: str) -> None:
+    """Delete scratch tables that are read no more, and let Spark drop the shuffle files of frames that are out of use: it does
+    so when the driver collects its garbage, which may otherwise be long after they have filled the disks."""
+    for name in names:
+        remove(spark, f"{where}/{name}")
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def tokenizer_file(name: str, folder: str | None = None) -> str:
     """The path of a public vocabulary file: in folder, in $TOKENIZER_DIR or as the public_tokenizers package has it."""
     if folder or TOKENIZERS:

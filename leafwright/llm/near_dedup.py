@@ -115,6 +115,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT, row
     tables = kept.select("id", F.explode(side("h", True)).alias("p"), side("h", False).alias("q")).select("id", "p", F.explode("q").alias("q")).select("id", F.xxhash64("p.half", "p.key", "q.half", "q.key").alias("t"))
     heads = tables.groupBy("t").agg(F.min("id").alias("head"), F.max("id").alias("last")).where("head < last").select("t", "head")
     rows_in = common.save(tables.join(heads, "t"), where, "rows")
+    del tables, heads, one, shared, kept
+    common.release(spark, where, "kept")
     stars = common.save(rows_in.where("id > head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct(), where, "stars")
     ends = stars.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     sets = common.save(full_sets(docs, ends, width).distinct(), where, "sets")
@@ -129,12 +131,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT, row
     if second.limit(1).count():
         parts = common.save(components.connected(links, where), where, "parts-1")
 
+    common.release(spark)
     # Tables whose classes are not all in one component: their classes are joined exactly.
     of = rows_in.join(parts, "id", "left").select("t", "id", F.coalesce("component", "id").alias("component"))
     open_tables = of.groupBy("t").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("t")
     members = common.save(of.join(open_tables, "t", "left_semi").select("id", "component").distinct(), where, "members")
     found = common.save(_prefix_links(sets, members, percent, where), where, "found")
     links = links.union(found)
+    del sets, rows_in, members, stars, of, open_tables, lead, rest
+    common.release(spark, where, "rows", "stars", "sets", "members", "member-sets")
     if found.limit(1).count():
         parts = common.save(components.connected(links, where, "cd"), where, "parts-2")
     named = classes.select("hi", "lo", "id").join(parts, "id", "left").select("hi", "lo", F.coalesce("component", "id").alias("c"))
