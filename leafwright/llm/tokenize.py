@@ -1,8 +1,8 @@
 """Chunks of text that tokenize apart, and exact token counts and ids from the chunks (used by operators 3, 4 and 8).
 
 The pattern of these byte-level vocabularies lets a blank begin a match but never follow other text inside one, so wherever a
-blank follows a non-blank there is a boundary of matches. A text split there gives the same ids as the whole. Most chunks
-recur, so each distinct chunk is encoded once per worker and looked up after.
+blank follows a non-blank there is a boundary of matches, and also where a mark follows a letter. A text split there gives
+the same ids as the whole. Most chunks recur, so each distinct chunk is encoded once per worker and looked up after.
 """
 
 from __future__ import annotations
@@ -16,11 +16,14 @@ import numpy as np
 #: The blanks of the Unicode White_Space property (Python's \\s has four more).
 _WS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _BLANKS = frozenset("\t\n\x0b\x0c\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000") | {chr(c) for c in range(0x2000, 0x200B)}
-_CHUNK = re.compile(f"[{_WS}]*[^{_WS}]+|[{_WS}]+")
+#: Some letters and marks: the pattern takes letters by themselves, so after a letter a mark begins a match.
+_LETTERS, _MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", "!-/:-@\\[-`{-~"
+_CHUNK = re.compile(f"[{_WS}]*(?:[{_LETTERS}]++(?=[{_MARKS}])|[^{_WS}]+)|[{_WS}]+")
 
 
 def chunks(text: str) -> list[str]:
-    """The text in parts that tokenize independently, a run of blanks and the non-blanks after it; together they are the text."""
+    """The text in parts that tokenize independently: blanks and the word after them, or the rest up to the next blank; together
+    they are the text."""
     return _CHUNK.findall(text)
 
 
