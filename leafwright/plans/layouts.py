@@ -77,7 +77,7 @@ def row_clusters_anchored(spark, d):
     return L.anchored_clusters(_blocks(spark, d), "y", L.ROW_TOLERANCE).select("page", "block", "cluster")
 
 
-@query(f"WITH {_SQL}, s AS (SELECT page, block % 2 AS bucket, x AS s, x + width AS e FROM b), m AS (SELECT *, max(e) OVER (PARTITION BY page, bucket ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM s), i AS (SELECT *, sum(CASE WHEN s <= m + 3 THEN 0 ELSE 1 END) OVER (PARTITION BY page, bucket ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS i FROM m) SELECT page, bucket, min(s) AS s, max(e) AS e, count(*) AS parts FROM i GROUP BY page, bucket, i")
+@query(f"WITH {_SQL}, s AS (SELECT page, block % 2 AS bucket, x AS s, x + width AS e FROM b), m AS (SELECT *, max(e) OVER (PARTITION BY page, bucket ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM s), i AS (SELECT *, sum(CASE WHEN s <= m + 3 THEN 0 ELSE 1 END) OVER (PARTITION BY page, bucket ORDER BY s, e) AS i FROM m) SELECT page, bucket, min(s) AS s, max(e) AS e, count(*) AS parts FROM i GROUP BY page, bucket, i")
 def interval_union(spark, d):
     """W8, W9."""
     s = _blocks(spark, d).select("page", (F.col("block") % 2).alias("bucket"), F.col("x").alias("s"), (F.col("x") + F.col("width")).alias("e"))
