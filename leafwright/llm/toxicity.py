@@ -6,7 +6,8 @@ ordinary dictionary and once with the toxic one, which holds the toxic segments
 lengths differ only by what toxic text explains. The counts of a text's windows above each saved-bytes threshold are its
 distances; a logistic fit on labelled texts calibrates them to a score between 0 and 1.
 
-Labels are read only of ids with crc32(id) mod 5 <> 0, at most SAMPLE of them (a hash of the id picks); language, source, id
+Labels are read only of ids with crc32(id) mod 5 <> 0, at most SAMPLE of them (a hash of the id picks). All of these, with their
+whole texts, train the ordinary dictionary and the calibration, so that scores keep the labels' share of toxic texts; language, source, id
 and label are never inputs of a score. Null and empty texts are one empty window and get the score of a text with no toxic
 window. Without labels of both kinds the score is the share of toxic ones (0 without any). Repeated rows and null ids keep
 their rows.
@@ -26,7 +27,7 @@ from . import common
 
 WINDOW, STEP = 96, 80
 SAMPLE = 6000
-GRAM, LIFT, REPEATS = 6, 4, 6
+GRAM, LEAST, LIFT, SURE, REPEATS = 6, 3, 4, 6, 6
 ORDINARY_BYTES, TOXIC_BYTES = 100_000, 8192
 _LOW, _HIGH = -4, 10
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -71,18 +72,19 @@ class Model:
 
 
 def _segments(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
-    """For each toxic text its runs of byte n-grams that occur at LIFT times the rate of ordinary texts or more."""
+    """For each toxic text its runs of byte n-grams that occur in LEAST toxic texts or more, at LIFT times the rate of ordinary
+    texts or more and SURE Poisson deviations above that rate: a rare gram of any share counts, one by chance does not."""
     grams = lambda b: [b[i : i + GRAM] for i in range(len(b) - GRAM + 1)]
     texts: Counter = Counter()
     for t in toxic:
         texts.update(set(grams(t)))
-    often = {g for g, n in texts.items() if n >= max(3, 0.02 * len(toxic))}
+    often = {g for g, n in texts.items() if n >= LEAST}
     seen, other = Counter(), Counter()
     for counts, group in ((seen, toxic), (other, ordinary)):
         for t in group:
             counts.update(g for g in grams(t) if g in often)
     per = sum(map(len, toxic)) / max(1, sum(map(len, ordinary)))
-    own = {g for g, n in seen.items() if n >= LIFT * per * (other[g] + 1)}
+    own = {g for g, n in seen.items() if n >= LIFT * per * (other[g] + 1) and n - per * other[g] >= SURE * (per * other[g] + 1) ** 0.5}
     out, uses = [], Counter()
     for t in toxic:
         runs, end = [], -1
@@ -118,11 +120,10 @@ def train(texts: list[str], toxic: list[int]) -> Model:
     segments = _segments(bad, good) if bad and good else []
     if not any(segments):
         return Model(b"", None, flat, flat, np.asarray([len(bad) / len(raw) if raw else 0.0]))
-    windows = [t[i : i + 256] for t in good[:3000] for i in range(0, min(len(t), 6000), 256)]
+    windows = [t[i : i + 256] for t in good for i in range(0, len(t), 256)]
     model = Model(_dictionary(windows, ORDINARY_BYTES), _dictionary(segments, TOXIC_BYTES, 16), flat, flat, flat)
-    some = bad + good[: max(1000, 3 * len(bad))]
-    y = np.asarray([1.0] * len(bad) + [0.0] * (len(some) - len(bad)))
-    x = model.distances(some)
+    y = np.asarray([1.0] * len(bad) + [0.0] * len(good))
+    x = model.distances(bad + good)
     mean, scale = x.mean(0), x.std(0) + 1e-9
     x = np.c_[(x - mean) / scale, np.ones(len(x))]
     w = np.zeros(x.shape[1])

@@ -109,6 +109,21 @@ def test_toxicity(spark, odd, none):
     assert toxicity.score(odd, one_kind).where("predicted = 0").count() == len(ODD)
 
 
+def test_toxicity_learns_from_all_labelled_texts(monkeypatch):
+    rng = np.random.default_rng(7)
+    text = lambda n: " ".join(rng.choice(WORDS, n))
+    texts = [text(60) for _ in range(1500)] + [text(2000) + " lastwords" for _ in range(5)] + [text(60) + " you scumbag loser" + " zorblattian" * (i < 8) for i in range(450)]
+    toxic, seen = [0] * 1505 + [1] * 450, {}
+    kept, dictionary = toxicity.Model.distances, toxicity._dictionary
+    monkeypatch.setattr(toxicity.Model, "distances", lambda m, t: seen.setdefault("calibrated", t) and kept(m, t))
+    monkeypatch.setattr(toxicity, "_dictionary", lambda s, *a: seen.setdefault(len(a), s) and dictionary(s, *a))
+    model = toxicity.train(texts, toxic)
+    assert sorted(seen["calibrated"]) == sorted(t.encode() for t in texts)
+    assert b"".join(seen[1]) == b"".join(t.encode() for t, y in zip(texts, toxic) if not y)
+    assert sum(b"zorblattian" in s for s in toxicity._segments([t.encode() for t, y in zip(texts, toxic) if y], [t.encode() for t, y in zip(texts, toxic) if not y])) > 0
+    assert abs(model.score([t.encode() for t in texts]).mean() - 450 / 1955) < 0.02
+
+
 def _tiktoken(name):
     import base64
 
