@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import patterns as P
+from . import repairs as RP
 from . import text as T
 
 SPAN = "array<struct<original:string, placeholder:string, kind:string, start:int, end:int>>"
@@ -283,27 +284,31 @@ def chunk_markdown(c: Column, most: int = 2000) -> Column:
 
 ACTION = "struct<text:string, actions:array<struct<rule:string, original:string, fixed:string, context:string>>>"
 
-#: Repairs of safe mode as (rule, pattern, replacement), in order.
+#: Repairs of safe mode as (rule, pattern, replacement), in order: R1, R2, R3, R10, then our own for what these leave.
 REPAIRS = [
-    ("percent", r"\?(%)", r"\1"), ("exponent", r"10\?(\d+)\?", r"10^\1"), ("negative exponent", r"10\?[−-]\?(\d)", r"10^-\1"), ("spaced exponent", r"10\s+[−-](\d+)", r"10^-\1"),
-    ("number after word", r"([A-Za-zäöüÄÖÜß])\?(\d)", r"\1 \2"), ("compound", r"(\w)\?+(\w)", r"\1-\2"), ("figure reference", r"\b(Figure|Fig\.|Table|Tab\.|Eq\.|Section)(\d)", r"\1 \2"),
-    ("spaces", r"[ \t]{2,}", " "),
+    *RP.UNICODE, *RP.SAFE, *RP.CONTEXT, ("figure reference", r"\b(Figure|Fig\.|Table|Tab\.|Eq\.|Section)(\d)", r"\1 \2"),
+    ("percent", r"\?(%)", r"\1"), ("exponent", r"10\?(\d+)\?", r"10^\1"), ("spaced exponent", r"10\s+[−-](\d+)", r"10^-\1"),
+    ("number after word", r"([A-Za-zäöüÄÖÜß])\?(\d)", r"\1 \2"), ("compound", r"([^\W\d_])\?+([^\W\d_])", r"\1-\2"), ("spaces", r"[ \t]{2,}", " "),
 ]
 
 
 def repair(c: Column, rules=None) -> Column:
-    """struct(text, actions). Matches that touch a protected span are left; each rule works on the text the one
+    """struct(text, actions). Matches that touch a protected span are left; each rule works on the text the one
     before has left, from right to left, with spans found anew, so offsets are never stale."""
-    own = rules or REPAIRS
+    own = [(name, re.compile(p), r, words) for name, p, r, *words in rules or REPAIRS]
 
     def run(t: str) -> tuple:
-        actions, spans_of = [], _compiled(P.FORMULAS[4:])
-        for name, p, r in own:
+        actions, spans_of = [], _compiled([*P.FORMULAS[4:], (r"«(?:FORMULA|MATH|EQ)_\d+»", "marker")])
+        for name, p, r, words in own:
+            if not (found := list(p.finditer(t))):
+                continue
             keep = union(t, spans_of)
-            for m in reversed(list(re.finditer(p, t))):
-                if any(a < m.end() and m.start() < b for a, b in keep):
+            for m in reversed(found):
+                if any(a < m.end() and m.start() < b for a, b in keep) or (words and not any(w in RP.near(t, m.start(), 100) for w in words[0])):
+                    continue
+                fixed = r(m, t) if callable(r) else m.expand(r)
+                if fixed == m.group(0):
                     continue
-                fixed = m.expand(r)
                 actions.append({"rule": name, "original": m.group(0), "fixed": fixed, "context": t[max(0, m.start() - 20) : m.end() + 20]})
                 t = t[: m.start()] + fixed + t[m.end() :]
         return t, actions

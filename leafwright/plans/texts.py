@@ -247,7 +247,7 @@ def chunk_text(spark, d):
 
 @query()
 def damage_repair(spark, d):
-    """Rows only (each rule sees the text that the one before left)."""
+    """Rows only (each rule sees the text that the one before left)."""
     t = F.concat(F.replace("text", F.lit("th"), F.lit("t?h")), F.lit(" 10?5? Figure3 7?%"))
     return _docs(spark, d).select(F.explode(PR.repair(t)["actions"]).alias("a")).groupBy("a.rule").agg(F.count("*").alias("n"))
 

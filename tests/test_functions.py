@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from leafwright.functions import protect as P
 from leafwright.functions import quality as Q
+from leafwright.functions import repairs as RP
 from leafwright.functions import text as T
 
 
@@ -39,6 +40,20 @@ def test_case(spark, f, text, want):
     assert one(spark, f(F.col("t")), t=text) == want
 
 
+REPAIRED = [
+    ("[G_abcd12_3] x", "? x"), ("a 10?¹? b", "a 10^{-19} b"), ("10?25 s/s", "10^{-25} s/s"), ("2027?2030", "2027–2030"), ("10?15 GHz", "10–15 GHz"), ("(1,1?¹?)", "(1.1 × 10^{-19})"),
+    ("a\uffffb", "ab"), ("10�20 99,1�% ESO�Spektrum", "10–20 99,1% ESO-Spektrum"), ("10?²?22×", "1.2 × 10^{-22}"), ("the the m({-1})", "the m^{-1}"), ("x ?±? y", "x ± y"), ("$10?25 s/s$", "$10?25 s/s$"),
+    ("For r r* it is higher", "For r > r* it is higher"), ("For r r_s it is smaller", "For r < r_s it is smaller"), ("For r r* alone", "For r < r* alone"), ("For r r*, a lower one", "For r < r*, a lower one"),
+    ("above " + "x" * 250 + " For r r*", "above " + "x" * 250 + " For r < r*"),
+]
+
+
+def test_repair_rules(spark):
+    x = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(REPAIRED)], "i int, t string").select("i", P.repair(F.col("t")).alias("r")).orderBy("i").collect()
+    assert [r.r.text for r in x] == [w for _, w in REPAIRED]
+    assert len(RP.UNICODE) == 8 and len(RP.SAFE) == 42 and x[12].r.actions[0].rule == "missing_less_than" and x[15].r.actions[0].rule == "missing_comparison_r_star"
+
+
 def test_pair_scores(spark):
     o, t = F.col("o"), F.col("t")
     assert one(spark, Q.completeness(o, t), o="a b c d", t="a b c d") == 100.0
