@@ -76,11 +76,18 @@ def html_cleanup(spark, d):
 
 @query(f"SELECT page_id, {S.chain('html', R.PLAIN_OUTPUT)} AS plain, {S.chain('html', R.UNICODE_OUTPUT)} AS unicode FROM pages WHERE NOT regexp_matches(html, '<su[bp]>')")
 def normalize_output_unicode(spark, d):
-    """I15, plain and unicode, where no super- or subscript is."""
+    """I15, plain and unicode, where no super- or subscript is: the part of normalize_output_all that SQL checks."""
     x = spark.read.parquet(f"{d}/pages.parquet").where(~F.col("html").rlike("<su[bp]>"))
     return x.select("page_id", T.normalize_output(F.col("html"), "plain").alias("plain"), T.normalize_output(F.col("html")).alias("unicode"))
 
 
+@query()
+def normalize_output_all(spark, d):
+    """I15, plain and unicode of every page; rows only (SQL has no function for each body of a tag), tests compare with brute force."""
+    x = spark.read.parquet(f"{d}/pages.parquet")
+    return x.select("page_id", T.normalize_output(F.col("html"), "plain").alias("plain"), T.normalize_output(F.col("html")).alias("unicode"))
+
+
 @query(f"SELECT page_id, {S.count('html', '<[^>]+>')}::INTEGER AS tags, {S.count('html', R.INLINE_HTML)}::INTEGER AS inline_tags, contains(html, chr(65533)) AS has_lost FROM pages")
 def html_residue_warnings(spark, d):
     """Q17, Q21, A19."""
@@ -118,10 +125,16 @@ def german_style(spark, d):
 
 @query(f"SELECT doc_id, {S.chain('replace(text, ' + chr(39) + 'ti' + chr(39) + ', ' + chr(39) + 't?i' + chr(39) + ')', R.QUESTION_MARKS)} AS repaired FROM documents WHERE lang = 'en'")
 def question_mark_repair(spark, d):
-    """I8."""
+    """I8, English documents only; question_mark_repair_all has every language."""
     return _docs(spark, d).where("lang = 'en'").select("doc_id", T.sanitize_unicode(F.replace("text", F.lit("ti"), F.lit("t?i"))).alias("repaired"))
 
 
+@query(f"SELECT doc_id, {S.chain('replace(text, ' + chr(39) + 'ti' + chr(39) + ', ' + chr(39) + 't?i' + chr(39) + ')', R.QUESTION_MARKS)} AS repaired FROM documents")
+def question_mark_repair_all(spark, d):
+    """I8 over documents of every language."""
+    return _docs(spark, d).select("doc_id", T.sanitize_unicode(F.replace("text", F.lit("ti"), F.lit("t?i"))).alias("repaired"))
+
+
 _CELL = "CASE (l_linenumber % 4)::INT WHEN 0 THEN l_quantity || '×10?' || l_linenumber || '?' WHEN 1 THEN l_orderkey || ' 10 −' || l_linenumber || ' kg?m' WHEN 2 THEN l_linenumber || '–' || l_suppkey || ' GHz?' ELSE 'Name ' || l_returnflag END"
 
 

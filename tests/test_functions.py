@@ -1,5 +1,7 @@
 """Literal inputs, one operator each, and properties of protection."""
 
+import re
+
 import pandas as pd
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -9,7 +11,9 @@ from pyspark.sql import functions as F
 from leafwright.functions import protect as P
 from leafwright.functions import quality as Q
 from leafwright.functions import repairs as RP
+from leafwright.functions import rules as R
 from leafwright.functions import text as T
+from leafwright.plans import texts
 
 
 def one(spark, column, **values):
@@ -54,6 +58,34 @@ def test_repair_rules(spark):
     assert len(RP.UNICODE) == 8 and len(RP.SAFE) == 42 and x[12].r.actions[0].rule == "missing_less_than" and x[15].r.actions[0].rule == "missing_comparison_r_star"
 
 
+def test_normalize_output_of_all_pages(spark, tmp_path):
+    pages = ["a<sup>2</sup> <sub>n</sub> <b>k</b>", "no tag $x$ \\textbf{b}", "<sup>3</sup>x<sup>3</sup><sub>i0</sub>", "<sup></sup> <sup>a<b>1</b></sup>", "", None, "<SUP>2</SUP> \\emph{<sub>1</sub>}"]
+    spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    up, down = str.maketrans(*R.SUPERSCRIPT), str.maketrans(*R.SUBSCRIPT)
+
+    def brute(t, plain):
+        if plain:
+            return re.sub(r"\\[a-zA-Z]+\{[^}]*\}", "", re.sub(r"\$[^$]+\$", "[formula]", re.sub(r"<[^>]+>", "", t)))
+        t = re.sub("<sub>([^<]+)</sub>", lambda m: m[1].translate(down), re.sub("<sup>([^<]+)</sup>", lambda m: m[1].translate(up), t))
+        return re.sub(r"\\(?:textbf|textit|emph)\{([^}]+)\}", r"\1", re.sub(r"</?[a-zA-Z][^>]*>", "", t))
+
+    got = {r.page_id: (r.plain, r.unicode) for r in texts.normalize_output_all(spark, str(tmp_path)).collect()}
+    assert got == {i: (None, None) if t is None else (brute(t, True), brute(t, False)) for i, t in enumerate(pages)}
+
+
+def test_question_marks_of_all_languages(spark, tmp_path):
+    rows = [(1, "en", "a nation"), (2, "de", "die Nation, Größe?Ändern 5?%"), (3, "fr", "la nation?là"), (4, None, "ti"), (5, "es", None)]
+    spark.createDataFrame(rows, "doc_id long, lang string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+
+    def brute(t):
+        for p, r in R.QUESTION_MARKS:
+            t = re.sub(p, r.replace("$", "\\"), t, flags=re.ASCII)
+        return t
+
+    got = {r.doc_id: r.repaired for r in texts.question_mark_repair_all(spark, str(tmp_path)).collect()}
+    assert got == {i: t and brute(t.replace("ti", "t?i")) for i, _, t in rows}
+
+
 def test_pair_scores(spark):
     o, t = F.col("o"), F.col("t")
     assert one(spark, Q.completeness(o, t), o="a b c d", t="a b c d") == 100.0
