@@ -118,10 +118,16 @@ def job_summary(spark, d):
 
 @query(f"WITH {_JOBS} SELECT seq, user_id, priority FROM j WHERE status = 'pending' ORDER BY priority DESC, seq LIMIT 50")
 def job_priority_queue(spark, d):
-    """The next fifty jobs (the limit is the feature)."""
+    """A report of the next fifty jobs; job_queue_ranked is the whole queue."""
     return ST.job_queue(ST.resumable(_jobs(spark, d))).select("seq", "user_id", "priority").limit(50)
 
 
+@query(f"WITH {_JOBS} SELECT seq, user_id, priority, row_number() OVER (ORDER BY priority DESC, seq) AS rank FROM j WHERE status IN ('pending', 'running')")
+def job_queue_ranked(spark, d):
+    """Every job that waits or runs, with its place."""
+    return ST.ranked_queue(ST.resumable(_jobs(spark, d)).select("seq", "user_id", "priority"))
+
+
 @query("""WITH p AS (SELECT user_id, count(*) AS done, (user_id % 50) + 200 AS total, sum(value) AS elapsed FROM events GROUP BY user_id)
 SELECT user_id, done, round(elapsed / done, 6) AS mean, round(CASE WHEN elapsed > 0 THEN 60.0::DOUBLE * done / elapsed ELSE 0 END, 6) AS per_minute, total - done AS remaining, round(elapsed / done * (total - done), 4) AS eta, round(100.0::DOUBLE * done / total, 6) AS percent,
   CASE WHEN done % 3 = 0 THEN 80.0::DOUBLE WHEN done % 3 = 1 THEN round(10 + 70.0::DOUBLE * (done / total::DOUBLE), 6) ELSE 100.0::DOUBLE END AS overall FROM p""")

@@ -134,3 +134,12 @@ def test_best_match(spark):
     b = frame(spark, "block_id long, text string", (1, "a b c d"), (2, "z"))
     p = frame(spark, "para_id long, text string", (5, "a b c"), (4, "a b c"))
     assert [(r.block_id, r.para_id, r.score) for r in corpus.best_match(b, p).collect()] == [(1, 4, 0.75)]
+
+
+def test_whole_job_queue(spark):
+    rows = [(i, (i * 7) % 4, ("pending", "running", "failed")[i % 3]) for i in range(900)]
+    jobs = spark.createDataFrame(rows, "seq long, priority int, status string").repartition(5)
+    got = [(r.seq, r["rank"]) for r in state.ranked_queue(state.resumable(jobs)).collect()]
+    want = sorted((r for r in rows if r[2] != "failed"), key=lambda r: (-r[1], r[0]))
+    assert sorted(got, key=lambda r: r[1]) == [(r[0], k) for k, r in enumerate(want, 1)]
+    assert state.ranked_queue(state.resumable(jobs.where("false"))).count() == 0
