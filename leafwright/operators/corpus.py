@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +23,12 @@ LANGUAGES = [
 #: Damage by kind.
 CORRUPTIONS = [("question", r"[A-Za-z]\?[A-Za-z]"), ("exponent", r"10\?"), ("glyph", r"\?[A-Z]_[a-f0-9]{4,8}_[0-9]+\?"), ("replacement", "�"), ("double", r"\?\?"), ("percent", r"\?%")]
 
+#: R4's patterns by kind, with look-arounds, which SQL and RE2 lack.
+SURVEY_CORRUPTIONS = [
+    ("replacement_char", "�"), ("question_in_number", r"(?<=[0-9])\?(?=[0-9²³⁴⁵⁶⁷⁸⁹⁰¹⁻⁺])"), ("question_compound", r"(?<=[A-Za-z])\?(?=[A-Z])"), ("font_glyph", r"\?[A-Z]_[a-f0-9]{4,8}_\d+\?"),
+    ("font_glyph_bracket", r"\[[A-Z]_[a-f0-9]{4,8}_\d+\]"), ("broken_range", r"(?<=[0-9])\s*[\?]\s*(?=[\-−–]?\d)"), ("soft_hyphen", "\u00ad"), ("zero_width", "[\u200b\u200c\u200d\ufeff]"),
+]
+
 
 def lines(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """Lines of each text with their place."""
@@ -62,11 +71,23 @@ def dictionary_hook(language: str, glossary: list[tuple[str, str, str]] = GLOSSA
 
 
 def corruption_rows(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """A row for each damage found, with its kind."""
+    """A row for each damage of our own six kinds; R4 is corruption_places."""
     kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.regexp_extract_all(F.col("text"), F.lit(p), 0).alias("m")) for k, p in CORRUPTIONS])
     return docs.select(key, F.explode(kinds).alias("x")).select(key, "x.kind", F.explode("x.m").alias("original"))
 
 
+def corruption_places(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """A row for each damage of the eight patterns and of our own, with its kind, place [start, end) in characters and context."""
+    own = [(k, re.compile(p)) for k, p in [*SURVEY_CORRUPTIONS, *CORRUPTIONS]]
+
+    def find(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: [] if t is None else [{"kind": k, "start": m.start(), "end": m.end(), "original": m.group(0), "context": t[max(0, m.start() - 20) : m.end() + 20]} for k, p in own for m in p.finditer(t)])
+
+    find.__annotations__ = {"s": pd.Series, "return": pd.Series}
+    x = F.pandas_udf(find, "array<struct<kind:string, start:int, end:int, original:string, context:string>>")(F.col("text"))
+    return docs.select(key, F.explode(x).alias("x")).select(key, "x.*")
+
+
 def symbol_votes(glyphs: DataFrame) -> DataFrame:
     """The symbol most contexts of a glyph speak for; ties go to the first seen (seq)."""
     v = glyphs.withColumn("symbol", T.infer_glyph(F.col("context"))).where("symbol is not null")

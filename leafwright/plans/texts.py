@@ -178,11 +178,18 @@ _DAMAGE = "replace(text, 'th', 't?h') || ' 10?' || doc_id || ' ?G_abcd_' || doc_
 
 @query("WITH x AS (SELECT doc_id, " + _DAMAGE + " AS text FROM documents) SELECT kind, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (" + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, unnest(regexp_extract_all(text, {S.lit(p)})) AS m FROM x" for k, p in C.CORRUPTIONS) + ") GROUP BY kind")
 def corruption_counts_by_type(spark, d):
-    """R4."""
+    """Our own six kinds, which SQL checks; corruption_places has all of R4."""
     t = F.concat(F.replace("text", F.lit("th"), F.lit("t?h")), F.lit(" 10?"), F.col("doc_id"), F.lit(" ?G_abcd_"), F.col("doc_id"), F.lit("? 5?% ??"))
     return C.corruption_rows(_docs(spark, d).select("doc_id", t.alias("text"))).groupBy("kind").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"))
 
 
+@query()
+def corruption_places(spark, d):
+    """R4, every kind with place and context; rows only (look-arounds), tests compare with brute force."""
+    t = F.concat(F.replace("text", F.lit("th"), F.lit("t?h")), F.lit(" 10?"), F.col("doc_id"), F.lit(" ?G_abcd_"), F.col("doc_id"), F.lit("? 5?% ?? [F_abcd_1] 3 ? 4 so\u00adft\u200b"))
+    return C.corruption_places(_docs(spark, d).select("doc_id", t.alias("text")))
+
+
 _GLYPHS = "g AS (SELECT event_id AS seq, 'G' || user_id AS glyph, CASE (event_id % 5)::INT WHEN 0 THEN 'the Temperature is' WHEN 1 THEN 'at frequency' WHEN 2 THEN 'wavelength of' WHEN 3 THEN 'approximately' ELSE 'nothing' END AS context FROM events), i AS (SELECT *, CASE WHEN contains(lower(context), 'temperature') THEN 'T' WHEN contains(lower(context), 'frequency') THEN 'f' WHEN contains(lower(context), 'wavelength') THEN 'λ' WHEN contains(lower(context), 'approximately') THEN '≈' END AS symbol FROM g), n AS (SELECT glyph, symbol, count(*) AS votes, min(seq) AS seq FROM i WHERE symbol IS NOT NULL GROUP BY ALL), v AS (SELECT glyph, arg_max(symbol, (votes, -seq)) AS symbol, max(votes) AS votes FROM n GROUP BY glyph)"
 
 

@@ -143,3 +143,15 @@ def test_whole_job_queue(spark):
     want = sorted((r for r in rows if r[2] != "failed"), key=lambda r: (-r[1], r[0]))
     assert sorted(got, key=lambda r: r[1]) == [(r[0], k) for k, r in enumerate(want, 1)]
     assert state.ranked_queue(state.resumable(jobs.where("false"))).count() == 0
+
+
+def test_corruption_places(spark):
+    texts = {1: "a [G_abcd12_0] b", 2: "3 ? 4", 3: "so\u00adft", 4: "ze\u200bro\ufeff", 5: "99?5 2?³ ESO?Xa", 6: "?F_abcdef_1? a�b", 7: None, 8: "clean.", 9: "x" * 30 + "\u00ad" + "y" * 30}
+    got = {(r.doc_id, r.kind, r.start, r.end, r.original, r.context) for r in corpus.corruption_places(frame(spark, "doc_id int, text string", *texts.items())).collect()}
+    near = lambda t, a, b: t[max(0, a - 20) : b + 20]
+    want = [
+        (1, "font_glyph_bracket", 2, 14), (2, "broken_range", 1, 4), (3, "soft_hyphen", 2, 3), (4, "zero_width", 2, 3), (4, "zero_width", 5, 6), (5, "question_in_number", 2, 3), (5, "broken_range", 2, 3),
+        (5, "question_in_number", 6, 7), (5, "question_compound", 12, 13), (5, "question", 11, 14), (6, "font_glyph", 0, 12), (6, "glyph", 0, 12), (6, "replacement_char", 14, 15), (6, "replacement", 14, 15),
+        (9, "soft_hyphen", 30, 31),
+    ]
+    assert got == {(i, k, a, b, texts[i][a:b], near(texts[i], a, b)) for i, k, a, b in want}
