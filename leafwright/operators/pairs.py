@@ -62,12 +62,20 @@ def needs_refinement(pairs: DataFrame) -> DataFrame:
 
 
 def aligned_sentences(pairs: DataFrame) -> DataFrame:
-    """Sentence by sentence where both sides have as many; acronyms map to themselves where both have them."""
+    """Sentence by sentence where both sides have as many; acronym_mappings has what maps to itself."""
     cut = lambda c: F.filter(F.split(c, r"[.!?]+(?:\s+|$)"), lambda s: T.strip(s) != "")
     x = pairs.withColumns({"so": cut(F.col("original")), "st": cut(F.col("translated"))}).where("size(so) = size(st) and size(so) > 0")
     return x.select("conv_id", "turn", F.posexplode(F.arrays_zip("so", "st")).alias("idx", "z")).select("conv_id", "turn", "idx", F.col("z.so").alias("source"), F.col("z.st").alias("target"))
 
 
+def acronym_mappings(pairs: DataFrame) -> DataFrame:
+    """Where both sides have as many sentences, each term in capitals that the translation of its first sentence has as well."""
+    x = pairs.withColumns({"so": F.split("original", r"[.!?]\s+"), "st": F.split("translated", r"[.!?]\s+")}).where("size(so) = size(st)")
+    x = x.select("*", F.explode(T.technical_terms(F.col("original"), two_pass=True)).alias("term")).where(F.col("term").rlike(r"\p{Lu}") & (F.col("term") == F.upper("term")))
+    both = F.filter(F.arrays_zip("so", "st"), lambda z: F.contains(F.lower(z["so"]), F.lower(F.col("term"))))
+    return x.where(F.contains(F.get(both, F.lit(0))["st"], F.col("term"))).select("conv_id", "turn", "term", F.col("term").alias("translation"))
+
+
 def context_window(blocks: DataFrame, doc: str, order: str, n: int = 3) -> DataFrame:
     """N translated neighbours on both sides, 200 characters each, the current block marked, joined by ---."""
     w = Window.partitionBy(doc).orderBy(order).rowsBetween(-n, n)

@@ -113,10 +113,16 @@ def blocks_needing_refinement(spark, d):
 @query(f"""WITH {S.PAIRS}, c AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(original, '[.!?]+(?:\\s+|$)'), lambda s: {S.strip('s')} <> '') AS so, list_filter(regexp_split_to_array(translated, '[.!?]+(?:\\s+|$)'), lambda s: {S.strip('s')} <> '') AS st FROM pairs),
 e AS (SELECT conv_id, turn, so, st, unnest(range(len(so)))::INTEGER AS idx FROM c WHERE len(so) = len(st)) SELECT conv_id, turn, idx, so[idx + 1] AS source, st[idx + 1] AS target FROM e""")
 def term_acronym_alignment(spark, d):
-    """J12."""
+    """J12, the sentences; acronym_mappings has the terms."""
     return P.aligned_sentences(_pairs(spark, d))
 
 
+@query()
+def acronym_mappings(spark, d):
+    """J12, the acronyms that stay the same; rows only, a test compares with brute force."""
+    return P.acronym_mappings(_pairs(spark, d))
+
+
 @query("""WITH w AS (SELECT conv_id, turn, list({'o': turn, 'x': left(text, 200)}) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS w FROM conversations)
 SELECT conv_id, turn, array_to_string(list_transform(w, lambda s: CASE WHEN s.o = turn THEN '[CURRENT] ' ELSE '' END || s.x), E'\\n---\\n') AS context FROM w""")
 def context_window(spark, d):

@@ -155,3 +155,9 @@ def test_corruption_places(spark):
         (9, "soft_hyphen", 30, 31),
     ]
     assert got == {(i, k, a, b, texts[i][a:b], near(texts[i], a, b)) for i, k, a, b in want}
+
+
+def test_acronym_mappings(spark):
+    rows = [(1, 1, "NASA flew. The ESA-X saw DNA.", "NASA flog. ESA sah DNA."), (1, 2, "NASA flew. More.", "NASA flog."), (1, 3, "We saw GPS. Later GPS.", "Wir. Dann GPS."), (1, 4, "CO2 and Dna, no caps", "CO2 und"), (1, 5, None, "x")]
+    got = pairs.acronym_mappings(frame(spark, "conv_id int, turn int, original string, translated string", *rows)).collect()
+    assert sorted((r.turn, r.term, r.translation) for r in got) == [(1, "DNA", "DNA"), (1, "ESA", "ESA"), (1, "NASA", "NASA"), (4, "CO2", "CO2")]
