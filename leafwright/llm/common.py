@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import gc
 import os
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -12,33 +11,47 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+from ..shipping import ship
+
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "")
 #: Texts of one Arrow batch are handled in pieces of about this many bytes.
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
+#: Arrow batches go to Python workers in about this many bytes, where the session has no value of its own.
+BATCH_BYTES = 4 << 20
+#: Tasks of one range split at most; beyond, tasks stream more rows each.
+MOST_TASKS = 200_000
+
 
+def ready(spark: SparkSession) -> None:
+    """Send the package to the executors and bound Arrow batches by bytes, unless the session says how.
 
-def ready(spark: SparkSession, rows: int = 512) -> None:
-    """Let Python workers find this package and keep Arrow batches of long texts small."""
-    env = spark.sparkContext.environment
-    if ROOT not in env.get("PYTHONPATH", "").split(":"):
-        env["PYTHONPATH"] = ":".join(filter(None, [ROOT, env.get("PYTHONPATH", "")]))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    The bound is the one setting of the session that operators change; it has no effect on any result.
+    """
+    ship(spark)
+    key, usual = "spark.sql.execution.arrow.maxBytesPerBatch", ("67108864b", "64m", "64MB", None)
+    if spark.conf.get(key, None) in usual:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below the cluster's spark.checkpoint.dir; below a temporary one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.gettempdir()}/leafwright-scratch"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/leafwright/{uuid.uuid4().hex}"
+    """A new folder below the cluster's spark.checkpoint.dir, or below the warehouse where that is unset.
+
+    Both are folders that all machines share. What is left in it goes when the application ends.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    where = f"{base.rstrip('/')}/leafwright/{uuid.uuid4().hex}"
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(where)
+    system = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.mkdirs(at)
+    system.deleteOnExit(at)
+    return where
 
 
 def save(df: DataFrame, where: str, name: str) -> DataFrame:
     """Write a table below where and read it again: cuts lineage and survives lost executors."""
     spark = df.sparkSession
-    df.write.mode("overwrite").parquet(f"{where}/{name}")
+    df.write.mode("overwrite").option("compression", "zstd").parquet(f"{where}/{name}")
     return spark.read.schema(df.schema).parquet(f"{where}/{name}")
 
 
@@ -109,25 +122,11 @@ def pieces(batch: pa.RecordBatch, column: str = "text", most: int = PIECE_BYTES)
     yield batch.slice(start)
 
 
-def range_splits(df: DataFrame, column: str, rows_each: int = 20_000, most: int = 4096) -> list:
-    """Ascending split values of a numeric column, about rows_each rows apart; their number is bounded by most."""
-    n, = df.agg(F.count(column)).first()
-    parts = int(min(most, max(1, -(-n // rows_each))))
-    if parts == 1:
-        return []
-    got = df.agg(F.percentile_approx(column, [i / parts for i in range(1, parts)], 100 * parts if parts < 1000 else parts)).first()[0]
-    return sorted(set(got or []))
-
-
-def bucket_of(column, splits: list):
-    """The number of splits at or below the value, by binary search; null values are in bucket 0."""
-    if not splits:
-        return F.lit(0)
+def ranged(df: DataFrame, keys: list, rows_each: int, order: list | None = None) -> DataFrame:
+    """df range-shuffled by keys into about rows_each rows a partition and sorted in each by order (keys, if not given).
 
-    def search(lo: int, hi: int):
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(column >= F.lit(splits[mid]), search(mid + 1, hi)).otherwise(search(lo, mid))
-
-    return F.when(column.isNull(), F.lit(0)).otherwise(search(0, len(splits)))
+    The partition's number (TaskContext) is then its place among the ranges. Keys that go on with a hash of the row split an
+    id that many rows have.
+    """
+    parts = int(min(MOST_TASKS, max(1, -(-df.count() // rows_each))))
+    return df.repartitionByRange(parts, *keys).sortWithinPartitions(*(order or keys))

@@ -26,7 +26,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
             a[0] = 1
             _powers[i] = np.multiply.accumulate(a)
     out = _powers[0][:n], _powers[1][:n]
-    if len(_powers[0]) > 1 << 23:  # do not hold on to what one very long text needed
+    if len(_powers[0]) > 1 << 22:  # do not hold on to what one very long text needed
         _powers[0] = _powers[1] = np.ones(0, np.uint64)
     return out
 

@@ -2,14 +2,18 @@
 
 Documents are encoded in ascending doc_id order, each followed by the id END, and packed into shards of about SHARD_TOKENS ids. A
 shard is one compressed file: a bit plane for each bit of an id, from the top bit down, with the ids stably parted by each bit
-in turn (a wavelet matrix), and a count of ones before every 512 bits. From the planes alone, Wavelet answers access (id
-at a place), rank and count (of an id before a place), select (place of its n-th occurrence) and gives all ids back.
-
-File format: a JSON header line (format, n, bits, doc ids, starts, plane sizes), then the planes, each zstd-compressed.
-Files get their final name by a rename once they are whole; a manifest table lists them. Shards are cut by id ranges, each of
-which one task holds as a stream; document starts come from sums over ranges (a bounded number) and shards.
-
-Null texts are empty and have the end id only. Equal ids follow each other by text, null ids come first. No documents, no files.
+in turn (a wavelet matrix), and the count of ones before every 512 bits. From the planes and counts, Wavelet answers access (id
+at a place), rank and count (of an id before a place), select (place of its n-th occurrence) and gives all ids back. An id has as
+many planes as the vocabulary's largest id needs bits.
+
+File format: a JSON header line (format, n, bits, doc ids, starts, sizes), then each plane and each plane's counts, zstd-compressed.
+Files get their final name by a rename once they are whole; a manifest table lists them. A range shuffle by (doc_id, hash of the
+text) gives each task one range as a stream, so an id that many rows have is split too; document starts come from sums over ranges
+and shards in the manifest.
+
+Null texts are empty and have the end id only. Equal ids follow each other by the hash of their texts, null ids come first; repeated rows
+are written each. Very long texts are encoded whole; a shard holds at least one document. Further columns, whatever their names, are
+not read. No documents, no files.
 """
 
 from __future__ import annotations
@@ -22,30 +26,38 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import common, files
-from .tokenize import Cache, Joined, chunks
+from . import common, files, textvec
+from .tokenize import Cache, Distinct, Joined
 
-END, BITS = 0, 16
+END = 0
 SHARD_TOKENS = 2_000_000
 _encoders: dict[str, tuple[Joined, Cache]] = {}
 
 
 class Wavelet:
-    """Rank/select queries on the planes of one shard."""
+    """Rank/select queries on the planes of one shard; ones are each plane's counts of ones before every 512 bits and in all."""
 
-    def __init__(self, planes: list[np.ndarray], n: int):
+    def __init__(self, planes: list[np.ndarray], n: int, ones: list[np.ndarray] | None = None):
         self.planes, self.n = planes, n
-        self.ones = [np.concatenate([[0], np.cumsum(np.add.reduceat(np.bitwise_count(p), np.arange(0, len(p), 64), dtype=np.int64))]) if len(p) else np.zeros(1, np.int64) for p in planes]
+        self.ones = ones if ones is not None else [self._counts(p) for p in planes]
         self.zeros = [n - int(o[-1]) for o in self.ones]
 
     @staticmethod
-    def build(ids: np.ndarray, bits: int = BITS) -> Wavelet:
+    def _counts(plane: np.ndarray) -> np.ndarray:
+        whole = np.zeros(-(-len(plane) // 64) * 8, np.uint64)
+        whole.view(np.uint8)[: len(plane)] = plane
+        return np.concatenate([[0], np.cumsum(np.bitwise_count(whole).reshape(-1, 8).sum(axis=1, dtype=np.int64))])
+
+    @staticmethod
+    def build(ids: np.ndarray, bits: int) -> Wavelet:
+        """The matrix of ids below 2 ** bits."""
+        if len(ids) and int(ids.max()) >> bits:
+            raise ValueError(f"an id does not fit {bits} bits")
         planes, x = [], ids.astype(np.uint16 if bits <= 16 else np.uint32)
         for b in range(bits - 1, -1, -1):
-            bit = (x >> b) & 1
-            planes.append(np.packbits(bit.astype(np.uint8), bitorder="little"))
-            on = bit.astype(bool)
-            x = np.concatenate([x[~on], x[on]])
+            on = (x & x.dtype.type(1 << b)).astype(bool)
+            planes.append(np.packbits(on, bitorder="little"))
+            x = np.concatenate([x[np.flatnonzero(~on)], x[np.flatnonzero(on)]])
         return Wavelet(planes, len(ids))
 
     def _rank1(self, level: int, i: int) -> int:
@@ -89,20 +101,21 @@ class Wavelet:
 
     def all(self) -> np.ndarray:
         """All ids in order: the parting by each bit undone from the last plane up."""
-        x = np.zeros(self.n, np.uint32)
-        for depth, p in enumerate(reversed(self.planes)):
+        x = np.zeros(self.n, np.uint16 if len(self.planes) <= 16 else np.uint32)
+        for depth, (p, zeros) in enumerate(zip(reversed(self.planes), reversed(self.zeros), strict=True)):
             on = np.unpackbits(p, count=self.n, bitorder="little").view(bool)
-            y = np.empty(self.n, np.uint32)
-            split = self.n - int(np.count_nonzero(on))
-            y[~on], y[on] = x[:split], x[split:] | np.uint32(1 << depth)
+            y = np.empty_like(x)
+            y[np.flatnonzero(~on)] = x[:zeros]
+            y[np.flatnonzero(on)] = x[zeros:] | x.dtype.type(1 << depth)
             x = y
         return x
 
     def to_bytes(self, docs: list, starts: list[int]) -> bytes:
         import zstandard
 
-        body = [zstandard.ZstdCompressor(level=1).compress(p.tobytes()) for p in self.planes]
-        head = {"format": "wavelet-matrix-1", "n": self.n, "bits": len(body), "docs": docs, "starts": starts, "sizes": [len(b) for b in body]}
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        body = [squeeze(x) for p, o in zip(self.planes, self.ones, strict=True) for x in (p.tobytes(), o.astype("<u4").tobytes())]
+        head = {"format": "wavelet-matrix-2", "n": self.n, "bits": len(self.planes), "docs": docs, "starts": starts, "sizes": [len(b) for b in body]}
         return json.dumps(head).encode() + b"\n" + b"".join(body)
 
     @staticmethod
@@ -110,11 +123,12 @@ class Wavelet:
         import zstandard
 
         line = data.index(b"\n")
-        head, at, planes = json.loads(data[:line]), line + 1, []
+        head, at, parts = json.loads(data[:line]), line + 1, []
         for size in head["sizes"]:
-            planes.append(np.frombuffer(zstandard.ZstdDecompressor().decompress(data[at : at + size], max_output_size=head["n"] // 8 + 64), np.uint8))
+            parts.append(zstandard.ZstdDecompressor().decompress(data[at : at + size]))
             at += size
-        return Wavelet(planes, head["n"]), head["docs"], head["starts"]
+        planes, ones = [np.frombuffer(p, np.uint8) for p in parts[::2]], [np.frombuffer(o, "<u4") for o in parts[1::2]]
+        return Wavelet(planes, head["n"], ones), head["docs"], head["starts"]
 
 
 def _encoder(path: str) -> tuple[Joined, Cache]:
@@ -124,46 +138,66 @@ def _encoder(path: str) -> tuple[Joined, Cache]:
     return _encoders[path]
 
 
-def encode_texts(texts: list[str], path: str) -> list[bytes]:
-    """Ids of each text as little-endian 32-bit integers; a text with a special token's string is encoded as a whole."""
+def encode_texts(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts after each other, and each text's bounds; a text with a special token's string is encoded as a whole."""
     j, cache = _encoder(path)
-    whole = [i for i, t in enumerate(texts) if any(a in t for a in j.added)]
-    out = [b"".join(c) for c in cache.look_up([[] if i in whole else chunks(t) for i, t in enumerate(texts)] if whole else [chunks(t) for t in texts])]
-    for i in whole:
-        out[i] = np.asarray(j.ids([texts[i]])[0], "<u4").tobytes()
-    return out
+    raw, bounds = textvec.flat(texts)
+    data = raw.tobytes()
+    whole = [i for i in range(len(texts)) if any(a in data[bounds[i] : bounds[i + 1]] for a in j.added)] if any(a in data for a in j.added) else []
+    if not whole:
+        d = Distinct(texts)
+        return d.joined(cache.look_up(d.keys), "<u4") if d.keys else (np.zeros(0, "<u4"), np.zeros(len(texts) + 1, np.int64))
+    each = [np.asarray(j.ids([data[a:b].decode()])[0], "<u4") if i in set(whole) else encode_texts(texts.slice(i, 1), path)[0] for i, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False))]
+    return np.concatenate(each), np.concatenate([[0], np.cumsum([len(x) for x in each])])
+
+
+def with_ends(ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same with the id END after each text."""
+    out = np.full(len(ids) + len(bounds) - 1, END, "<u4")
+    out[np.arange(len(ids)) + np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))] = ids
+    return out, bounds + np.arange(len(bounds))
 
 
 def write(docs: DataFrame, path: str, folder: str, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Write shards below folder; returns the manifest (part, seq, docs, tokens, uri), saved there too."""
-    common.ready(docs.sparkSession, rows=256)
+    common.ready(docs.sparkSession)
     t = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    splits = common.range_splits(t, "doc_id", 1000)
-    placed = t.withColumn("part", common.bucket_of(F.col("doc_id"), splits)).repartition(len(splits) + 1, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "text")
+    keys = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
 
     def run(batches):
-        now, seq, ids, held, starts = None, 0, [], [], [0]
+        from pyspark import TaskContext
+
+        part, seq, held, parts, size = TaskContext.get().partitionId(), 0, [], [], 0
+        bits = max(1, _encoder(path)[0].top.bit_length())
 
         def flush():
-            uri = f"{folder}/shards/{now:06d}-{seq:06d}.wm"
-            files.write(uri, Wavelet.build(np.frombuffer(b"".join(ids), "<u4")).to_bytes(held, starts[:-1]))
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([seq], pa.int64()), pa.array([len(held)], pa.int64()), pa.array([starts[-1]], pa.int64()), pa.array([uri])], names=["part", "seq", "docs", "tokens", "uri"])
+            uri = f"{folder}/shards/{part:08d}-{seq:06d}.wm"
+            sizes = np.concatenate(parts)
+            ids = np.concatenate([x for _, x in held])
+            docs_in = [d for ds, _ in held for d in ds]
+            files.write(uri, Wavelet.build(ids, bits).to_bytes(docs_in, (np.cumsum(sizes) - sizes).tolist()))
+            cols = [pa.array([x], pa.int64()) for x in (part, seq, len(docs_in), len(ids))]
+            return pa.RecordBatch.from_arrays([*cols, pa.array([uri])], names=["part", "seq", "docs", "tokens", "uri"])
 
         for batch in batches:
-            encoded = encode_texts(batch.column(1).to_pylist(), path)
-            for doc, x, part in zip(batch.column(0).to_pylist(), encoded, batch.column(2).to_pylist(), strict=True):
-                if held and (part != now or starts[-1] >= shard_tokens):
-                    yield flush()
-                    ids, held, starts = [], [], [0]
-                    seq = seq + 1 if part == now else 0
-                now = part
-                ids += [x, END.to_bytes(4, "little")]
-                held.append(doc)
-                starts.append(starts[-1] + len(x) // 4 + 1)
+            for piece in common.pieces(batch, most=4 << 20):
+                ids, bounds = with_ends(*encode_texts(piece.column(1), path))
+                ends, names = np.diff(bounds), piece.column(0).to_pylist()
+                at = 0
+                while at < len(names):  # documents up to the one that fills the shard
+                    k = min(len(names), int(np.searchsorted(bounds, bounds[at] + shard_tokens - size, "left")))
+                    k = max(at + 1, k)
+                    held.append((names[at:k], ids[bounds[at] : bounds[k]]))
+                    parts.append(ends[at:k])
+                    size += int(bounds[k] - bounds[at])
+                    at = k
+                    if size >= shard_tokens:
+                        yield flush()
+                        seq, held, parts, size = seq + 1, [], [], 0
         if held:
             yield flush()
 
-    return common.save(placed.select("doc_id", "text", F.col("part").cast("long").alias("part")).mapInArrow(run, "part long, seq long, docs long, tokens long, uri string"), folder, "manifest")
+    return common.save(common.ranged(t, keys, 2000).mapInArrow(run, "part long, seq long, docs long, tokens long, uri string"), folder, "manifest")
 
 
 def read(manifest: DataFrame) -> DataFrame:
@@ -176,10 +210,10 @@ def read(manifest: DataFrame) -> DataFrame:
         for batch in batches:
             for uri, first in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 w, docs, starts = Wavelet.from_bytes(files.read(uri))
-                ids = w.all().astype("<u4")
-                ends = [*starts[1:], len(ids)]
-                crc = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(starts, ends, strict=True)]
+                ids = w.all().astype("<u4").data
+                ends = [*starts[1:], w.n]
+                crc = [zlib.crc32(ids[a:b]) for a, b in zip(starts, ends, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(np.asarray(starts, np.int64) + first), pa.array(np.asarray(ends, np.int64) - np.asarray(starts, np.int64)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    n = max(1, min(4096, manifest.count()))
+    n = max(1, min(common.MOST_TASKS, manifest.count()))
     return placed.repartition(n).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -6,7 +6,9 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from leafwright.llm import bpe, common, fingerprints, media, mixing, near_dedup, quality, token_counts, token_files, toxicity, warc
@@ -32,6 +34,11 @@ def none(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
+def spark_hash(text):
+    """xxhash64 of Spark: seed 42, signed."""
+    return np.uint64(xxhash.xxh64_intdigest(text.encode(), 42)).astype(np.int64).item()
+
+
 def shingle_set(text, width):
     w = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
     k = min(width, len(w))
@@ -146,7 +153,7 @@ def test_long_words():
     b, enc = bpe.Bpe(common.tokenizer_file(MULTI), pattern()), _tiktoken(MULTI)
     rng = np.random.default_rng(2)
     words = ["".join(rng.choice(list("abcdeé"), n)) for n in (5, 95, 96, 97, 98, 1000)] + ["a" * 500]
-    got = [np.frombuffer(x[0], "<u4").tolist() for x in b.encode(words)]
+    got = [np.frombuffer(x[0], "<u4").tolist() for x in b.encode(pa.array(words))]
     assert got == [enc.encode_ordinary(w) for w in words]
 
 
@@ -165,7 +172,7 @@ def test_length_histogram(spark, odd, none):
 
 
 def test_fingerprints(spark, odd, none):
-    rows = sorted(((i is not None, i or 0, t or "") for i, t in ODD))
+    rows = sorted(((i is not None, i or 0, spark_hash(t or ""), t or "") for i, t in ODD))
     a, b = fingerprints._functions()
 
     def phrases(text):
@@ -178,22 +185,17 @@ def test_fingerprints(spark, odd, none):
         return seen
 
     want = []
-    for k, (has, i, t) in enumerate(rows):
-        nxt = rows[(k + 1) % len(rows)][2]
+    for k, (has, i, _, t) in enumerate(rows):
+        nxt = rows[(k + 1) % len(rows)][3]
         e = t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]
         s, u, v = (fingerprints.signature(phrases(x), a, b) for x in (t, e, nxt))
         want.append((i if has else -1, len(t), hashlib.sha256(e.encode()).hexdigest(), fingerprints._hex(s), fingerprints._hex(u), fingerprints.likeness(s, u), fingerprints.likeness(s, v)))
-    got = [(-1 if r.doc_id is None else r.doc_id, *r[1:]) for r in fingerprints.compare(odd).collect()]
-    assert sorted(got) == sorted(want)
+    for each in (1000, 1, 5):
+        got = [(-1 if r.doc_id is None else r.doc_id, *r[1:]) for r in fingerprints.compare(odd, rows_each=each).collect()]
+        assert sorted(got) == sorted(want)
     assert fingerprints.compare(none).count() == 0
 
 
-def test_next_row_over_ranges(spark):
-    d = spark.createDataFrame([(i, f"t{i}") for i in range(50)], "doc_id long, text string")
-    got = fingerprints.with_next(d, rows_each=7)
-    assert got.where("not carry").count() == 50 and got.where("carry").count() == got.select("part").distinct().count() > 3
-
-
 def test_permutation():
     for n in (1, 2, 3, 17, 1000):
         p = mixing.permute(np.arange(n), n, 7)
@@ -231,9 +233,9 @@ def test_token_files(spark, odd, none, tmp_path):
     path = common.tokenizer_file("byte_bpe_50k.json")
     tk = Tokenizer.from_file(path)
     docs = odd.union(spark.createDataFrame([(20, "a <|endoftext|> b <|endof", "", "", 0, "", "")], SCHEMA))
-    rows = sorted(((r.doc_id is not None, r.doc_id or 0, r.text or "") for r in docs.collect()))
+    rows = sorted(((r.doc_id is not None, r.doc_id or 0, spark_hash(r.text or ""), r.text or "") for r in docs.collect()))
     want, at = [], 0
-    for has, i, t in rows:
+    for has, i, _, t in rows:
         ids = np.asarray([*tk.encode(t, add_special_tokens=False).ids, 0], "<u4")
         want.append((i if has else -1, at, len(ids), zlib.crc32(ids.tobytes())))
         at += len(ids)
@@ -244,17 +246,22 @@ def test_token_files(spark, odd, none, tmp_path):
 
 
 def test_wavelet():
-    ids = np.random.default_rng(3).integers(0, 60, 2000) * 700
-    w, docs, starts = token_files.Wavelet.from_bytes(token_files.Wavelet.build(ids).to_bytes([5], [0]))
+    ids = np.random.default_rng(3).integers(0, 60, 2000) * 2000
+    w, docs, starts = token_files.Wavelet.from_bytes(token_files.Wavelet.build(ids, 17).to_bytes([5], [0]))
     assert (w.all() == ids).all() and (docs, starts) == ([5], [0])
     for i in range(0, 2000, 97):
         v = int(ids[i])
         assert w.access(i) == v and w.rank(v, i) == (ids[:i] == v).sum() and w.select(v, 1) == np.flatnonzero(ids == v)[1]
-    assert w.count(1) == 0 and w.select(1, 0) == -1
+    assert w.count(1) == 0 and w.select(1, 0) == -1 and ids.max() > 65535
+    with pytest.raises(ValueError):
+        token_files.Wavelet.build(ids, 16)
 
 
 def test_warc(spark, tmp_path):
     long_ = "<p>é</p>" * 20
+    assert [x for x in warc.members(b"".join(warc.record(i, "u", b"x" * (i * 999), None) for i in range(40)), 512)] == [zlib.decompress(warc.record(i, "u", b"x" * (i * 999), None), 31) for i in range(40)]
+    with pytest.raises(ValueError):
+        list(warc.records(warc.record(1, "u", b"x" * 99, None)[:-4]))
     pages = [(3, "http://a\r\nb", long_), (1, None, long_), (2, "u", "short"), (4, "u", "short"), (5, "u", None), (None, "u", long_), (1, None, long_), (6, "u", "x" * 50_000)]
     d = spark.createDataFrame(pages, "page_id long, url string, html string")
     manifest = warc.write(d, f"file://{tmp_path}/w", roll_bytes=300)
