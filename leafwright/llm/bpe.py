@@ -1,45 +1,48 @@
 """Byte-level BPE encoding and decoding by recursive DuckDB queries in each partition (operator 4).
 
 The rank file's vocabulary is a merge table: a row (l, r, m) for every way to split token m into two tokens. The distinct
-matches of the pattern in a batch become token-position rows of their bytes; each step of one recursive query joins them with
-the merge table and contracts every word's leftmost pair of least rank, until no word has a pair. Ordered aggregation gives a
-word's ids, and another one decodes them to bytes. A document's ids are those of its matches in order.
-
-A recursive query keeps the rows of all its steps, so its cost grows with the square of a word's length: words of over LONG
-bytes are merged by a heap over their pairs instead, which gives the same ids (see the README). Words seen before are taken
-from a bounded cache of the worker. Null texts are empty; they have no ids. Rows pass through one by one: repeated rows,
-null ids and empty tables need no care, and further columns are not read.
+matches of the pattern in a batch become token-position rows of their bytes, each with the place of the row that follows it. Every
+step of one recursive query joins the rows of the words that changed last with their followers and the merge table, and contracts each
+word's leftmost pair of least rank, until no word has a pair. The recursion is keyed by place, so it keeps each row's newest state
+only: memory is in proportion to the bytes, time to the square of a word's length. Ordered aggregation then gives a word's
+ids and decodes them to bytes. A document's ids are those of its matches in order.
+
+Chunks of text seen before are taken from a bounded cache of the worker. Null texts are empty; they have no ids. Very long texts are
+encoded whole, a piece of a batch each. Rows pass through one by one: repeated rows, ties, null ids and empty tables need no care,
+and further columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .tokenize import Cache, chunks
+from .tokenize import Cache, Distinct
 
-LONG = 96
-WORDS_EACH = 8_000
+#: Bytes of the words that one query takes.
+BYTES_EACH = 100_000
 
 #: A row's key p is the word's number and the row's place in it; c is the rank and place of a pair in one number.
 _STEP = """
-WITH RECURSIVE s(step, p, tok) AS (
-  SELECT 0, (word::BIGINT << 10) | pos, tok::BIGINT FROM start
-  UNION ALL
-  (WITH a AS (SELECT step, p, tok, lead(p) OVER w AS np, lead(tok) OVER w AS nt, lag(p) OVER w AS bp FROM s WINDOW w AS (ORDER BY p)),
-  x AS MATERIALIZED (SELECT a.*, m | (p & 1023) AS c FROM a LEFT JOIN merges ON pair = CASE WHEN np >> 10 = p >> 10 THEN (tok << 20) | nt END),
-  best AS (SELECT p >> 10 AS w, min(c) AS c FROM x WHERE c IS NOT NULL GROUP BY 1)
-  SELECT step + 1, p, CASE WHEN p & 1023 = best.c & 1023 THEN best.c >> 10 ELSE tok END
-  FROM x JOIN best ON x.p >> 10 = best.w WHERE bp IS NULL OR bp >> 10 <> p >> 10 OR bp & 1023 <> best.c & 1023)
-), ended AS (SELECT p >> 10 AS w, max(step) AS step FROM s GROUP BY 1)
-SELECT w AS word, list(tok::INTEGER ORDER BY p) AS ids, string_agg(t.hex, '' ORDER BY p) AS hex
-FROM s JOIN ended ON s.p >> 10 = w AND s.step = ended.step JOIN tokens t ON t.id = s.tok GROUP BY w ORDER BY w
+WITH RECURSIVE s(p, tok, next) USING KEY (p) AS (
+  SELECT p, tok, next FROM start
+  UNION
+  (WITH pairs AS MATERIALIZED (
+    SELECT a.p AS p, a.p >> 32 AS w, m.m AS m, b.p AS bp, b.next AS after
+    FROM (SELECT DISTINCT p >> 32 AS w FROM s) changed JOIN recurring.s a ON a.p >> 32 = changed.w
+    JOIN recurring.s b ON b.p = a.next JOIN merges m ON m.pair = (a.tok << 20 | b.tok)),
+  best AS (SELECT w, min((m << 32) | (p & 4294967295)) AS c FROM pairs GROUP BY w),
+  won AS MATERIALIZED (SELECT pairs.* FROM pairs JOIN best ON pairs.w = best.w AND pairs.p & 4294967295 = best.c & 4294967295)
+  SELECT p, m, after FROM won UNION ALL SELECT bp, NULL, NULL FROM won)
+)
+SELECT p >> 32 AS word, list(tok::INTEGER ORDER BY p) AS ids, string_agg(t.hex, '' ORDER BY p) AS hex
+FROM s JOIN tokens t ON t.id = s.tok GROUP BY 1 ORDER BY 1
 """
 
 
@@ -51,75 +54,54 @@ class Bpe:
         import regex
 
         with open(path, "rb") as f:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.by_id = {i: t for t, i in self.ranks.items()}
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.single = np.asarray([ranks[bytes([b])] for b in range(256)], np.int64)
         self.pattern = regex.compile(pattern)
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "300MB"})
-        rows = [(self.ranks[t[:i]], self.ranks[t[i:]], m) for t, m in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
-        parts = pa.table({c: pa.array([r[k] for r in rows], pa.int32()) for k, c in enumerate("lrm")})  # noqa: F841
-        tokens = pa.table({"id": pa.array(list(self.by_id), pa.int32()), "hex": [t.hex() for t in self.by_id.values()]})  # noqa: F841
-        self.db.execute("CREATE TABLE merges AS SELECT (l::BIGINT << 20) | r AS pair, m::BIGINT << 10 AS m FROM parts")
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB"})
+        rows = [(ranks[t[:i]], ranks[t[i:]], m) for t, m in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
+        parts = pa.table({c: pa.array([r[k] for r in rows], pa.int64()) for k, c in enumerate("lrm")})  # noqa: F841
+        tokens = pa.table({"id": pa.array(list(ranks.values()), pa.int64()), "hex": [t.hex() for t in ranks]})  # noqa: F841
+        self.db.execute("CREATE TABLE merges AS SELECT (l << 20) | r AS pair, m FROM parts")
         self.db.execute("CREATE TABLE tokens AS FROM tokens")
-        self.words = Cache(self.encode_words, most=350_000)
-        self.cache = Cache(self.encode_chunks, most=350_000)
-
-    def by_heap(self, word: bytes) -> list[int]:
-        """The ids of one long word: pairs from a heap by rank and place, over a linked list of its parts."""
-        n = len(word)
-        part = [word[i : i + 1] for i in range(n)]
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i, 2) for i in range(n - 1) if (r := self.ranks.get(word[i : i + 2])) is not None]
-        heapq.heapify(heap)
-        while heap:
-            r, i, size = heapq.heappop(heap)
-            j = after[i] if part[i] is not None else n
-            if j >= n or len(part[i]) + len(part[j]) != size or self.ranks.get(part[i] + part[j]) != r:
-                continue  # one of the two has been contracted since
-            part[i], part[j] = part[i] + part[j], None
-            after[i] = after[j]
-            if after[j] < n:
-                before[after[j]] = i
-            for a, b in ((before[i], i), (i, after[i])):
-                if a >= 0 and b < n and (r := self.ranks.get(part[a] + part[b])) is not None:
-                    heapq.heappush(heap, (r, a, len(part[a]) + len(part[b])))
-        return [self.ranks[p] for p in part if p is not None]
-
-    def encode_words(self, words: list[str]) -> list[tuple[bytes, bytes]]:
+        self.cache = Cache(self.encode_chunks, most=150_000)
+
+    def encode_words(self, words: list[bytes]) -> list[tuple[bytes, bytes]]:
         """For each word its ids (little-endian 32-bit) and the bytes these decode to."""
-        import numpy as np
-
-        raw = [w.encode("utf-8", "surrogatepass") for w in words]
-        out: list = [None] * len(raw)
-        for i, w in enumerate(raw):
-            if w in self.ranks:
-                out[i] = (self.ranks[w].to_bytes(4, "little"), self.by_id[self.ranks[w]])
-            elif len(w) > LONG:
-                ids = self.by_heap(w)
-                out[i] = (np.asarray(ids, "<u4").tobytes(), b"".join(map(self.by_id.__getitem__, ids)))
-        rest = [i for i, x in enumerate(out) if x is None]
-        single = np.asarray([self.ranks[bytes([b])] for b in range(256)], np.int32)
-        for k in range(0, len(rest), WORDS_EACH):
-            own = rest[k : k + WORDS_EACH]
-            sizes = np.asarray([len(raw[i]) for i in own])
+        out: list = [(b"", b"")] * len(words)
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(lengths, kind="stable")  # words of like length take as many steps
+        parts = np.cumsum(lengths[order]) // BYTES_EACH
+        for own in np.split(order, np.flatnonzero(np.diff(parts)) + 1):
+            sizes = lengths[own]
             if not sizes.sum():
                 continue
-            word = np.repeat(np.arange(len(own), dtype=np.int32), sizes)
-            pos = np.arange(len(word)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            start = pa.table({"word": word, "pos": pos.astype(np.int32), "tok": single[np.frombuffer(b"".join(raw[i] for i in own), np.uint8)]})  # noqa: F841
+            place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            p = (np.repeat(np.arange(len(own)), sizes) << 32) | place
+            tok = self.single[np.frombuffer(b"".join([words[i] for i in own.tolist()]), np.uint8)]
+            start = pa.table({"p": p, "tok": tok, "next": pa.array(p + 1, mask=place == np.repeat(sizes, sizes) - 1)})  # noqa: F841
             got = self.db.sql(_STEP).to_arrow_table()
             ids = got["ids"].combine_chunks()
-            data, at = np.asarray(ids.values).astype("<u4"), np.asarray(ids.offsets)
-            for j, w, h in zip(range(len(got)), got["word"].to_pylist(), got["hex"].to_pylist(), strict=True):
-                out[own[w]] = (data[at[j] : at[j + 1]].tobytes(), bytes.fromhex(h))
-        return [x or (b"", b"") for x in out]
-
-    def encode_chunks(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
-        found = self.words.look_up([self.pattern.findall(t) for t in texts])
-        return [w[0] if len(w) == 1 else (b"".join([x[0] for x in w]), b"".join([x[1] for x in w])) for w in found]
-
-    def encode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
-        """For each text its ids and the bytes they decode to."""
-        return [(b"".join([x[0] for x in c]), b"".join([x[1] for x in c])) for c in self.cache.look_up([chunks(t) for t in texts])]
+            data, at = np.asarray(ids.values).astype("<u4").tobytes(), (4 * np.asarray(ids.offsets)).tolist()
+            for i, a, b, h in zip(own[np.asarray(got["word"])].tolist(), at, at[1:], got["hex"].to_pylist(), strict=False):
+                out[i] = (data[a:b], bytes.fromhex(h))
+        return out
+
+    def encode_chunks(self, chunks: list[bytes]) -> list[tuple[bytes, bytes]]:
+        found = [self.pattern.findall(c.decode()) for c in chunks]
+        number: dict[str, int] = {}
+        places = [[number.setdefault(w, len(number)) for w in f] for f in found]
+        words = self.encode_words([w.encode() for w in number])
+        return [words[p[0]] if len(p) == 1 else (b"".join([words[i][0] for i in p]), b"".join([words[i][1] for i in p])) for p in places]
+
+    def encode(self, texts: pa.Array) -> list[tuple[bytes, bytes]]:
+        """For each text its ids (little-endian 32-bit) and the bytes they decode to."""
+        d = Distinct(texts)
+        if not d.keys:
+            return [(b"", b"")] * len(texts)
+        values = self.cache.look_up(d.keys)
+        (ids, a), (raw, b) = d.joined([v[0] for v in values], "<u4"), d.joined([v[1] for v in values], np.uint8)
+        ids, raw, a, b = ids.tobytes(), raw.tobytes(), (4 * a).tolist(), b.tolist()
+        return [(ids[a[i] : a[i + 1]], raw[b[i] : b[i + 1]]) for i in range(len(texts))]
 
 
 _bpe: dict[tuple, Bpe] = {}
@@ -137,12 +119,10 @@ def encode(docs: DataFrame, path: str, pattern: str, with_ids: bool = True) -> D
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
 
     def run(batches):
-        import numpy as np
-
         bpe = worker_bpe(path, pattern)
         for batch in batches:
-            for part in common.pieces(batch, most=8 << 20):
-                got = bpe.encode([t or "" for t in part.column(1).to_pylist()])
+            for part in common.pieces(batch, most=4 << 20):
+                got = bpe.encode(part.column(1))
                 sha = lambda k: [hashlib.sha256(x[k]).hexdigest() for x in got]  # noqa: B023, E731
                 cols = [part.column(0), pa.array([len(x[0]) // 4 for x in got], pa.int64()), pa.array(sha(0), pa.string()), pa.array(sha(1), pa.string())]
                 if with_ids:

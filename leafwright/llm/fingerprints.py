@@ -1,6 +1,6 @@
 """Lempel-Ziv phrase fingerprints (operator 6).
 
-A text's bytes are parsed into phrases as LZ78 does: each phrase is the shortest run that is not a phrase yet. The set of
+A text's code points are parsed into phrases as LZ78 does: each phrase is the shortest run that is not a phrase yet. The set of
 phrases says what a dictionary compressor learns from the text; texts with like sets compress well together. Each phrase is
 hashed, and the least value under each of FUNCTIONS hash functions makes the fingerprint (16 bits of each, in hex). The share
 of equal places of two fingerprints estimates the similarity of the phrase sets, so the likeness of compression.
@@ -9,8 +9,10 @@ A parse is a running state, so a text and a text that shares its beginning share
 have a fingerprint of their own (no phrase); a text's last, unfinished phrase counts as one. Equal texts have equal
 fingerprints. Texts of any length are parsed whole, code point by code point.
 
-The next document (ascending doc_id, nulls first, equal ids by text; after the last the first) reaches a document's task
-by one range shuffle: each range also gets the first row of the next one, so no task sees more than its range.
+The next document (ascending doc_id, nulls first, equal ids by a hash of the text; after the last the first) follows a document in
+the task of its range, after one shuffle by (doc_id, hash), which splits an id that many rows have. Each range's last document meets
+the first one of the next range in a table of two rows a range. Repeated rows are each other's next documents; ties in id are
+broken by the hash; an empty table gives an empty result; further columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common, textvec
@@ -109,54 +111,79 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fingerprint string")
 
 
-def with_next(docs: DataFrame, rows_each: int = 1000) -> DataFrame:
-    """part, doc_id, text, carry: rows by ranges of doc_id; carry rows are the first rows of the range that follows."""
-    t = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    splits = common.range_splits(t, "doc_id", rows_each)
-    placed = t.withColumn("part", common.bucket_of(F.col("doc_id"), splits))
-    # The least row of each range: one row a range.
-    firsts = placed.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("set"), "doc_id", "text")).alias("f")).select("part", "f.doc_id", "f.text")
-    ranges = sorted(r.part for r in placed.select("part").distinct().collect())
-    if not ranges:
-        return placed.select("part", "doc_id", "text", F.lit(False).alias("carry"))
-    before = dict(zip(ranges, ranges[-1:] + ranges[:-1], strict=True))
-    to = F.create_map(*[F.lit(x) for p in before.items() for x in p])
-    carried = firsts.select(to[F.col("part")].alias("part"), "doc_id", "text", F.lit(True).alias("carry"))
-    both = placed.select("part", "doc_id", "text", F.lit(False).alias("carry")).union(carried)
-    return both.repartition(len(ranges), "part").sortWithinPartitions("part", "carry", F.col("doc_id").asc_nulls_first(), "text")
-
-
-def compare(docs: DataFrame) -> DataFrame:
+_OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_TYPES = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+_NAMES = [c.split()[0] for c in _OUT.split(", ")]
+
+
+class _Row:
+    """A document with its parse and minima, and what its edited text keeps of them."""
+
+    __slots__ = ("doc", "text", "sig", "kept", "edited", "least")
+
+    def __init__(self, doc, text: str, a: np.ndarray, b: np.ndarray):
+        self.doc, self.text = doc, text
+        self.kept = text[: len(text) - len(text) // 2]
+        parse = Parse().feed(self.kept)
+        self.least, self.edited = minima(parse.new, a, b), parse.fork()
+        parse.new = []
+        self.sig = finish(np.minimum(self.least, minima(parse.feed(text[len(self.kept) :]).new, a, b)))
+
+    def compared(self, after: _Row, a: np.ndarray, b: np.ndarray) -> tuple:
+        """The row of the result, with the document that follows."""
+        put = after.text[: len(self.text) // 2]
+        e = finish(np.minimum(self.least, minima(self.edited.feed(put).new, a, b)))
+        digest = hashlib.sha256((self.kept + put).encode("utf-8", "surrogatepass")).hexdigest()
+        return self.doc, len(self.text), digest, _hex(self.sig), _hex(e), likeness(self.sig, e), likeness(self.sig, after.sig)
+
+
+def compare(docs: DataFrame, rows_each: int = 1000) -> DataFrame:
     """Each document's fingerprint, that of its edited text, and its likeness to the edited text and to the next document.
 
     The edited text has the last floor(n_chars / 2) code points replaced by the first as many (or all) of the next document.
     """
-    common.ready(docs.sparkSession, rows=256)
-    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    common.ready(docs.sparkSession)
+    t = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
     def run(batches):
+        from pyspark import TaskContext
+
         a, b = _functions()
-        last = None  # part, doc_id, text, signature, what stays of the text, its parse and minima
+        part, last = TaskContext.get().partitionId(), None
 
-        def finished(row, text: str, s: np.ndarray):
-            _, doc, own, sig, kept, edited, least = row
-            put = text[: len(own) // 2]
-            e = finish(np.minimum(least, minima(edited.feed(put).new, a, b)))
-            return doc, len(own), hashlib.sha256((kept + put).encode("utf-8", "surrogatepass")).hexdigest(), _hex(sig), _hex(e), likeness(sig, e), likeness(sig, s)
+        def out(rows, kind: int, text=None):
+            n = len(rows)
+            cols = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _TYPES, strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int64()), pa.array([kind] * n, pa.int32()), pa.array([text] * n, pa.string()), *cols], names=["part", "kind", "text", *_NAMES])
 
+        bare = lambda r: [(r.doc, None, None, None, None, None, None)]
+        for batch in batches:
+            done = []
+            for doc, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                row = _Row(doc, text, a, b)
+                if last is None:
+                    yield out(bare(row), 1, text)
+                else:
+                    done.append(last.compared(row, a, b))
+                last = row
+            if done:
+                yield out(done, 0)
+        if last is not None:
+            yield out(bare(last), 2, last.text)
+
+    ranged = common.ranged(t, [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")], rows_each)
+    found = common.save(ranged.mapInArrow(run, "part long, kind int, text string, " + _OUT), common.scratch(docs.sparkSession), "compared")
+    order = Window.orderBy("part")
+    parts = found.where("kind = 1").select("part")
+    following = parts.select("part", F.coalesce(F.lead("part").over(order), F.min("part").over(order)).alias("next"))
+    firsts = found.where("kind = 1").select(F.col("part").alias("next"), F.col("text").alias("after"))
+    ends = found.where("kind = 2").join(following, "part").join(firsts, "next").select("doc_id", "text", "after")
+
+    def close(batches):
+        a, b = _functions()
         for batch in batches:
-            rows = []
-            for part, doc, text, carry in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                kept = text[: len(text) - len(text) // 2]
-                parse = Parse().feed(kept)
-                least, edited = minima(parse.new, a, b), parse.fork()
-                parse.new = []
-                s = finish(np.minimum(least, minima(parse.feed(text[len(kept) :]).new, a, b)))
-                if last is not None and last[0] == part:
-                    rows.append(finished(last, text, s))
-                last = None if carry else (part, doc, text, s, kept, edited, least)
+            rows = [_Row(doc, text, a, b).compared(_Row(None, after, a, b), a, b) for doc, text, after in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
             if rows:
-                cols = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()), strict=True)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _TYPES, strict=True)], names=_NAMES)
 
-    return with_next(docs).mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return found.where("kind = 0").select(*_NAMES).union(ends.mapInArrow(close, _OUT))

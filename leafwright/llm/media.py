@@ -6,8 +6,9 @@ frames' energy (one begins above HIGH dB over the mean and ends below LOW). The
 shape (FRAMES x MELS, the last one filled up) with time spans and stored as fixed-shape Arrow tensors in IPC files.
 
 Audio of any length is worked through in blocks of FRAMES frames, the same for every text, so equal payloads give equal
-values whatever stands beside them and memory is bounded. Null texts are empty: their payload is all padding. Rows pass one
-by one: repeated rows and null ids keep their rows, an empty table gives an empty result.
+values whatever stands beside them and memory is bounded. Null texts are empty: their payload is all padding; very long texts take a
+few times their bytes as samples and nothing more as features. Rows pass one by one: repeated rows, ties and null ids keep their
+rows, an empty table gives an empty result; further columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -118,7 +119,7 @@ def segments(energy: np.ndarray, high: float = HIGH, low: float = LOW) -> list[t
 
 def store(docs: DataFrame, where: str) -> DataFrame:
     """doc_id, n_bytes, media (WAV bytes) of each row of docs (doc_id, text), written below where and read again."""
-    common.ready(docs.sparkSession, rows=256)
+    common.ready(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
@@ -143,21 +144,27 @@ def _tensor_file(rows: list) -> bytes:
 
 
 def features(media: DataFrame, folder: str, tensors_each: int = 2000) -> DataFrame:
-    """Read stored media back: sizes, digests and a feature string of each; writes tensor files below folder/tensors."""
-    common.ready(media.sparkSession, rows=256)
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    """Read stored media back: sizes, digests, a feature string, the segments' time spans and the place of the tensors of each.
+
+    Writes tensor files below folder/tensors and the result below folder/features; tensor_file and tensor_row name a row's first
+    tensor, and those that follow are the next rows, on in the next file (manifest lists the files).
+    """
+    common.ready(media.sparkSession)
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "segments", "tensor_file", "tensor_row"]
+    spans_type = pa.list_(pa.struct([("start_ms", pa.float64()), ("end_ms", pa.float64())]))
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), spans_type, pa.string(), pa.int64()]
 
     def run(batches):
         from pyspark import TaskContext
 
         task, seq, held = TaskContext.get().partitionId(), 0, []
         ms = 1000 * HOP / (RATE * UP / DOWN)
+        uri = lambda: f"{folder}/tensors/{task:08d}-{seq:06d}.arrow"
         for batch in batches:
             rows = []
             for doc, n, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 samples, _ = from_wav(data)
-                digest, energy, frames = hashlib.sha256(), [], 0
+                digest, energy, frames, at = hashlib.sha256(), [], 0, (uri(), len(held))
                 for block, k in log_mel(samples):
                     tensor = np.round(block, 1).astype(np.float16)
                     digest.update(tensor.tobytes())
@@ -165,18 +172,25 @@ def features(media: DataFrame, folder: str, tensors_each: int = 2000) -> DataFra
                     held.append((doc, frames * ms, (frames + k) * ms, tensor))
                     frames += k
                     if len(held) >= tensors_each:
-                        files.write(f"{folder}/tensors/{task:06d}-{seq:06d}.arrow", _tensor_file(held))
+                        files.write(uri(), _tensor_file(held))
                         seq, held = seq + 1, []
                 spans = segments(np.concatenate(energy))
                 active = sum(b - a for a, b in spans)
                 feature = f"frames={frames};segments={len(spans)};active_ms={active * ms:g};mel={digest.hexdigest()[:32]}"
-                rows.append((doc, n, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature))
+                times = [{"start_ms": a * ms, "end_ms": b * ms} for a, b in spans]
+                rows.append((doc, n, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature, times, *at))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
         if held:
-            files.write(f"{folder}/tensors/{task:06d}-{seq:06d}.arrow", _tensor_file(held))
+            files.write(uri(), _tensor_file(held))
+
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, segments array<struct<start_ms double, end_ms double>>, tensor_file string, tensor_row long"
+    return common.save(media.mapInArrow(run, schema), folder, "features")
+
 
-    return media.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+def manifest(found: DataFrame) -> DataFrame:
+    """tensor_file and n_docs (documents whose tensors begin in it) of the tensor files that the result of features names."""
+    return found.groupBy("tensor_file").agg(F.count("*").alias("n_docs"))
 
 
 def read_tensors(data: bytes) -> pa.Table:

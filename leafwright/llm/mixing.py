@@ -4,29 +4,33 @@ Each source's words, in ascending doc_id order, are packed into blocks of BLOCK
 slots each source gets from a multinomial over what the sources still have to give, so shards vary but the totals meet the
 targets. A source's slot k is pass k div n over its n blocks; in a pass, slots map to blocks through a pseudorandom permutation
 of the indices (a keyed Feistel network with cycle walking), so nothing is sorted or drawn per row. Blocks join slots by
-(source, index). The last slot of a source is cut to the words that its target still needs.
+(source, index). The last slot of a source is cut to the words that its target still needs. Another permutation orders the slots
+of a shard: slices, the mix as it is written, name the shard and the place in it of every piece (shards and mixed_blocks).
 
 Targets: the sources in code point order, null last, have the weights WEIGHTS, repeating, and share RATIO times all sizes; a target
 stops at MOST times its source's size and the excess is shared again by weight. As a pass takes a block at most once, no
 document is taken more than MOST (2) times its size.
 
-A size is a text's number of words, runs outside [\\x20\\x09-\\x0D]; null texts have 0. Rows with equal ids are ordered by
-a hash of the text; null ids come first. All rows keep a row in the result; empty tables give an empty result.
-Prefix sums are in two levels (source and id range, then rows of one range), so a source that holds most rows is spread over
-all tasks. The driver sees one row a source (a mixture is a list of named sources) and SHARDS counts for each.
+A size is a text's number of words, runs outside [\\x20\\x09-\\x0D]; null and empty texts have 0 and are not taken. Rows with equal ids
+are ordered by a hash of the text; null ids come first; rows equal in id, source and text are copies that follow each other. All rows
+keep a row in the result; empty tables give an empty result; further columns, whatever their names, only go with the texts.
+Sizes, places and slices are narrow rows; texts move once, to the slices of their words, and are cut in pieces of a batch,
+so a very long text takes a few times its own bytes.
+Prefix sums are in two levels (range, then rows of one range), so a source that holds most rows is spread over
+all tasks. The driver sees one row a source (a mixture is a list of named sources) and the shards' counts for each.
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, textvec
 
 BLOCK, SHARDS, SEED = 512, 64, 20240609
 WEIGHTS, RATIO, MOST = (5, 2, 1), 1.5, 2
@@ -122,37 +126,64 @@ def draws(slots: list[int], shards: int) -> list[tuple[int, int, int, int]]:
     return out
 
 
-def _sized(docs: DataFrame, keep: list[str]) -> DataFrame:
+def _source(c: str = "source"):
+    """The source as a key that is never null."""
+    return F.when(F.col(c).isNull(), "n").otherwise(F.concat(F.lit("s"), F.col(c).cast("string")))
+
+
+def _key(name: str | None) -> str:
+    return "n" if name is None else "s" + name
+
+
+def _placed(docs: DataFrame, where: str) -> tuple[DataFrame, list[tuple[str | None, int]]]:
+    """(rows, sizes): a row of doc_id, sk, h (hash of the text), size and start (its first word's place in its source) for each row
+    of docs, and each source's words."""
     t = F.col("text").cast("string")
-    own = [F.col(c).alias(f"_{c}") for c in keep]
-    key = F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), F.col("source").cast("string")))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("sk"), F.coalesce(F.regexp_count(t, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(t).alias("h"), *own)
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _source().alias("sk"), F.coalesce(F.regexp_count(t, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(t).alias("h"))
+    groups = common.save(sized.groupBy("sk", "doc_id", "h").agg(F.max("size").alias("size"), F.count("*").alias("times")), where, "sized")
 
+    def run(batches):
+        from pyspark import TaskContext
 
-def mix(docs: DataFrame, keep: list[str] | None = None, block: int = BLOCK, shards: int = SHARDS):
-    """(rows, slices): rows has doc_id, sk, size, start (place in its source) and the kept columns; slices has a row for each
-    piece of a document that a slot takes: sk, start, pass, shard, a, b (words of the document, b excluded)."""
-    spark = docs.sparkSession
-    common.ready(spark)
-    where = common.scratch(spark)
-    base = common.save(_sized(docs, keep or []), where, "sized")
-    splits = common.range_splits(base, "doc_id", 2000)
-    placed = base.withColumn("part", common.bucket_of(F.col("doc_id"), splits))
-    sums = common.save(placed.groupBy("sk", "part").agg(F.sum("size").alias("words")), where, "sums")
+        part, given = TaskContext.get().partitionId(), {}
+        for batch in batches:
+            sk, words = batch.column(0).to_pylist(), [s * n for s, n in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)]
+            at = []
+            for s, n in zip(sk, words, strict=True):
+                at.append(given.get(s, 0))
+                given[s] = at[-1] + n
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([part] * len(batch), pa.int64()), pa.array(at, pa.int64())], names=[*batch.schema.names, "part", "at"])
+
+    keys = [F.col("sk"), F.col("doc_id").asc_nulls_first(), F.col("h")]
+    ranged = common.ranged(groups, keys, 50_000).mapInArrow(run, "sk string, doc_id long, h long, size long, times long, part long, at long")
+    ranged = common.save(ranged, where, "ranged")
+    sums = common.save(ranged.groupBy("sk", "part").agg(F.sum(F.col("size") * F.col("times")).alias("words")), where, "sums")
     before = sums.select("sk", "part", F.coalesce(F.sum("words").over(Window.partitionBy("sk").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    w = Window.partitionBy("sk", "part").orderBy(F.col("doc_id").asc_nulls_first(), "h").rowsBetween(Window.unboundedPreceding, -1)
-    rows = placed.join(before, ["sk", "part"]).withColumn("start", F.col("before") + F.coalesce(F.sum("size").over(w), F.lit(0))).drop("part", "before", "h")
-    rows = common.save(rows, where, "rows")
-    common.remove(spark, f"{where}/sized")
+    rows = ranged.join(before, ["sk", "part"]).select("sk", "doc_id", "h", "size", "times", (F.col("before") + F.col("at")).alias("start"))
+    # Copies one by one, some thousand from each row of a first step, as a row may stand for any number.
+    step = 4096
+    some = rows.withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(times - 1) div {step}"))))
+    each = some.withColumn("i", F.explode(F.sequence(F.col("c") * step, F.least(F.col("times"), (F.col("c") + 1) * step) - 1)))
+    each = each.select("sk", "doc_id", "h", "size", "times", (F.col("start") + F.col("i") * F.col("size")).alias("start"))
     sizes = [(None if r.sk == "n" else r.sk[1:], r.words) for r in sums.groupBy("sk").agg(F.sum("words").alias("words")).collect()]
-    goal = targets(sizes)
-    plans = [plan(s, n, goal[s], i, block) for i, (s, n) in enumerate(sorted(sizes, key=lambda s: (s[0] is None, s[0] or "")))]
+    return common.save(each, where, "rows"), sizes
+
+
+def _slots(spark, plans: list[Plan], block: int, shards: int) -> DataFrame:
+    """sk, block, pass, shard, slot (place in the shard), most (words of the block to take) of every slot."""
+    drawn = draws([p.slots for p in plans], shards)
+    total: dict[int, int] = {}
+    runs = []  # source, shard, first slot of the source, first place in the shard, slots
+    for s, h, k0, c in drawn:
+        runs.append((s, h, k0, total.get(h, 0), c))
+        total[h] = total.get(h, 0) + c
     step = 1 << 15
-    chunks = [(s, h, k, min(step, k0 + c - k)) for s, h, k0, c in draws([p.slots for p in plans], shards) for k in range(k0, k0 + c, step)]
+    each = spark.createDataFrame(runs or [(0, 0, 0, 0, 0)], "s long, h long, k0 long, p0 long, c long").where("c > 0")
+    each = each.withColumn("o", F.explode(F.expr(f"sequence(0L, c - 1, {step}L)"))).select("s", "h", (F.col("k0") + F.col("o")).alias("k"), (F.col("p0") + F.col("o")).alias("p"), F.least(F.col("c") - F.col("o"), F.lit(step)).alias("c"))
 
     def run(batches):
         for batch in batches:
-            for s, h, k0, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            for s, h, k0, p0, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 p = plans[s]
                 k = np.arange(k0, k0 + c)
                 turn, index = k // p.n, k % p.n
@@ -160,29 +191,88 @@ def mix(docs: DataFrame, keep: list[str] | None = None, block: int = BLOCK, shar
                 for e in np.unique(turn).tolist():
                     at[turn == e] = permute(index[turn == e], p.n, p.seed + e)
                 most = np.where((k == p.slots - 1) & (p.last > 0), p.cut, block)
-                key = "n" if p.name is None else "s" + p.name
-                yield pa.RecordBatch.from_arrays([pa.array([key] * c, pa.string()), pa.array(at), pa.array(turn), pa.array(np.full(c, h, np.int64)), pa.array(most.astype(np.int64))], names=["sk", "block", "pass", "shard", "most"])
-
-    schema = "sk string, block long, pass long, shard long, most long"
-    each = spark.createDataFrame(chunks or [(0, 0, 0, 0)], "s long, h long, k long, c long").where("c > 0")
-    total = sum(p.slots for p in plans)
-    # The hint: Spark takes the slots for as small as their chunk rows and would broadcast them, but they grow with the input.
-    slots = each.repartition(int(min(4096, max(1, total // 100_000)))).mapInArrow(run, schema).hint("merge")
+                slot = permute(np.arange(p0, p0 + c), total[h], SEED - 1 - h)
+                cols = [pa.array(x.astype(np.int64)) for x in (at, turn, np.full(c, h), slot, most)]
+                yield pa.RecordBatch.from_arrays([pa.array([_key(p.name)] * c, pa.string()), *cols], names=["sk", "block", "pass", "shard", "slot", "most"])
+
+    slots = sum(p.slots for p in plans)
+    return each.repartition(int(min(common.MOST_TASKS, max(1, slots // 100_000)))).mapInArrow(run, "sk string, block long, pass long, shard long, slot long, most long")
+
+
+def mix(docs: DataFrame, block: int = BLOCK, shards: int = SHARDS):
+    """(rows, slices, facts): rows has sk, doc_id, h, size, times (equal rows) and start of each row; slices has a row for each
+    piece of a row that a slot takes: sk, start, pass, shard, slot, a, b (its words, b excluded); facts has sk, source_size, target."""
+    spark = docs.sparkSession
+    common.ready(spark)
+    rows, sizes = _placed(docs, common.scratch(spark))
+    goal = targets(sizes)
+    plans = [plan(s, n, goal[s], i, block) for i, (s, n) in enumerate(sorted(sizes, key=lambda s: (s[0] is None, s[0] or "")))]
+    # The hint: Spark takes the slots for as small as their runs and would broadcast them, but they grow with the input.
+    slots = _slots(spark, plans, block, shards).hint("merge")
     first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)
     pieces = rows.where("size > 0").select("sk", "start", "size", F.explode(F.sequence(first, last)).alias("block"))
     lo, hi = F.greatest(F.col("start"), F.col("block") * block), F.least(F.col("start") + F.col("size"), F.col("block") * block + F.col("most"))
-    slices = pieces.join(slots, ["sk", "block"]).select("sk", "start", "pass", "shard", (lo - F.col("start")).alias("a"), (hi - F.col("start")).alias("b")).where("a < b")
-    facts = spark.createDataFrame([("n" if p.name is None else "s" + p.name, p.size, float(p.target)) for p in plans] or [("", 0, 0.0)], "sk string, source_size long, target double")
+    slices = pieces.join(slots, ["sk", "block"]).select("sk", "start", "pass", "shard", "slot", (lo - F.col("start")).alias("a"), (hi - F.col("start")).alias("b")).where("a < b")
+    facts = spark.createDataFrame([(_key(p.name), p.size, float(p.target)) for p in plans] or [("", 0, 0.0)], "sk string, source_size long, target double")
     return rows, slices, facts
 
 
-def taken(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken for each row of docs (doc_id, source, text)."""
-    rows, slices, facts = mix(docs)
-    words = slices.groupBy("sk", "start").agg(F.sum(F.col("b") - F.col("a")).alias("taken"))
-    some, none = rows.where("size > 0"), rows.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
-    all_rows = some.join(words, ["sk", "start"], "left").select(*none.columns).union(none)
-    return all_rows.join(F.broadcast(facts), "sk").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+def taken(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """doc_id, size, source_size, target, taken, first_shard, last_shard (null if none takes of it) for each row of docs (doc_id, source, text)."""
+    rows, slices, facts = mix(docs, shards=shards)
+    words = slices.groupBy("sk", "start").agg(F.sum(F.col("b") - F.col("a")).alias("taken"), F.min("shard").alias("first_shard"), F.max("shard").alias("last_shard"))
+    some = rows.where("size > 0").select("sk", "doc_id", "size", "start").join(words, ["sk", "start"], "left").drop("start")
+    none = rows.where("size = 0").select("sk", "doc_id", "size", *[F.lit(None).cast("long").alias(c) for c in ("taken", "first_shard", "last_shard")])
+    return some.union(none).join(facts, "sk").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_shard", "last_shard")
+
+
+def _joined(docs: DataFrame, rows: DataFrame, slices: DataFrame) -> DataFrame:
+    """_pass, _shard, _slot, _a, _b (arrays: the slices of a row), _size and the columns of docs, for each row that the mix takes of.
+
+    Rows equal in id, source and text go by the one that is least as JSON.
+    """
+    t = F.col("text").cast("string")
+    key = lambda s, d, h: [s.alias("_s"), d.isNull().alias("_z"), F.coalesce(d, F.lit(0)).alias("_d"), h.alias("_h")]
+    of, row = key(_source(), F.col("doc_id").cast("long"), F.xxhash64(t)), F.struct(*docs.columns)
+    repeats = bool(rows.where("times > 1 and size > 0").limit(1).count())
+    texts = docs.groupBy(*of).agg(F.min_by(row, F.to_json(row)).alias("_row")) if repeats else docs.select(*of, row.alias("_row"))
+    each = slices.groupBy("sk", "start").agg(F.array_sort(F.collect_list(F.struct("pass", "a", "b", "shard", "slot"))).alias("r"))
+    each = rows.where("size > 0").join(each, ["sk", "start"]).select(*key(F.col("sk"), F.col("doc_id"), F.col("h")), F.col("size").alias("_size"), "r")
+    return texts.join(each, ["_s", "_z", "_d", "_h"]).select(*[F.col(f"r.{c}").alias(f"_{c}") for c in ("pass", "shard", "slot", "a", "b")], "_size", "_row.*")
+
+
+def _cut(text: bytes, starts: np.ndarray, ends: np.ndarray, a: list[int], b: list[int]) -> bytes:
+    """The words a to b (excluded) of each slice, which ascend: words that follow each other keep what is between them, gaps become a line break."""
+    joined: list[list[int]] = []
+    for x, y in zip(a, b, strict=True):
+        if joined and joined[-1][1] == x:
+            joined[-1][1] = y
+        else:
+            joined.append([x, y])
+    return b"\n".join([text[starts[x] : ends[y - 1]] for x, y in joined])
+
+
+def _emit(part: pa.RecordBatch, at: int, by_pass: bool):
+    """(row, first slice, text) of each pass over a row, or of each slice; the text is None where it is the whole one."""
+    lists = [part.column(i) for i in range(5)]
+    bounds = np.asarray(lists[0].offsets).tolist()
+    turn, a, b = (np.asarray(lists[i].values).tolist() for i in (0, 3, 4))
+    size = part.column(5).to_pylist()
+    out = []
+    for i, (x, y) in enumerate(zip(bounds, bounds[1:], strict=False)):
+        cut = [x, *[j for j in range(x + 1, y) if not by_pass or turn[j] != turn[j - 1]], y]
+        out += [(i, j, k, sum(b[j:k]) - sum(a[j:k]) == size[i]) for j, k in zip(cut, cut[1:], strict=False)]
+    rows = sorted({i for i, _, _, whole in out if not whole})
+    place = {r: n for n, r in enumerate(rows)}
+    raw, ends_of = textvec.flat(part.column(at).take(pa.array(rows, pa.int64())))
+    starts, ends, first = textvec.spans(raw, ends_of)
+    data = raw.data
+    for i, j, k, whole in out:
+        if whole:
+            yield i, j, None
+        else:
+            n = place[i]
+            yield i, j, _cut(data, starts[first[n] : first[n + 1]], ends[first[n] : first[n + 1]], a[j:k], b[j:k])
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
@@ -192,31 +282,41 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     its whole text.
     """
     names = docs.columns
-    rows, slices, _ = mix(docs, keep=names)
-    ranges = slices.groupBy("sk", "start", "pass").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("r"), F.sum(F.col("b") - F.col("a")).alias("n"))
-    both = rows.where("size > 0").join(ranges, ["sk", "start"])
-    word = re.compile(WORD)
-
-    def words(text: str, a: list[int], b: list[int]) -> str:
-        at = [m.span() for m in word.finditer(text)]
-        joined: list[list[int]] = []
-        for x, y in zip(a, b, strict=True):
-            if joined and joined[-1][1] == x:
-                joined[-1][1] = y
-            else:
-                joined.append([x, y])
-        return "\n".join(text[at[x][0] : at[y - 1][1]] for x, y in joined)
+    rows, slices, _ = mix(docs)
+
+    def run(batches):
+        at = 6 + names.index("text")
+        for batch in batches:
+            for part in common.pieces(batch):
+                made = list(_emit(part, at, True))
+                which = pa.array([i for i, _, _ in made], pa.int64())
+                cols = [part.column(6 + i).take(which) for i in range(len(names))]
+                if any(t is not None for _, _, t in made):
+                    old = part.column(at).cast(pa.binary())
+                    text = pa.array([old[i].as_py() if t is None else t for i, _, t in made], pa.binary()).cast(pa.string())
+                    cols[names.index("text")] = text
+                    if "n_chars" in names:
+                        cols[names.index("n_chars")] = pc.utf8_length(text).cast(cols[names.index("n_chars")].type)
+                yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    return _joined(docs, rows, slices).mapInArrow(run, docs.schema)
+
+
+def mixed_blocks(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """The mix as output shards: shard, slot, doc_id, pass, first_word and text of each slice, in the order of shards and slots."""
+    rows, slices, _ = mix(docs, shards=shards)
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.col("text").cast("string").alias("text"))
+    names = ["shard", "slot", "doc_id", "pass", "first_word", "text"]
 
     def run(batches):
         for batch in batches:
-            a, b, whole = (batch.column(len(names) + i).to_pylist() for i in range(3))
-            texts = batch.column(names.index("text")).to_pylist()
-            new = [t if w else words(t, x, y) for t, x, y, w in zip(texts, a, b, whole, strict=True)]
-            cols = list(batch.columns[: len(names)])
-            cols[names.index("text")] = pa.array(new, pa.string())
-            if "n_chars" in names:
-                cols[names.index("n_chars")] = pa.array([len(t) for t in new], pa.int64()).cast(cols[names.index("n_chars")].type)
-            yield pa.RecordBatch.from_arrays(cols, names=names)
-
-    cut = both.select(*[F.col(f"_{c}").alias(c) for c in names], F.col("r.a").alias("_a"), F.col("r.b").alias("_b"), (F.col("n") == F.col("size")).alias("_whole"))
-    return cut.mapInArrow(run, docs.schema)
+            for part in common.pieces(batch):
+                made = list(_emit(part, 8, False))
+                old = part.column(8).cast(pa.binary())
+                j = pa.array([j for _, j, _ in made], pa.int64())
+                turn, shard, slot, a = (part.column(i).values.take(j) for i in range(4))
+                text = pa.array([old[i].as_py() if t is None else t for i, _, t in made], pa.binary()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([shard, slot, part.column(6).take(pa.array([i for i, _, _ in made], pa.int64())), turn, a, text], names=names)
+
+    made = _joined(own, rows, slices).mapInArrow(run, "shard long, slot long, doc_id long, pass long, first_word long, text string")
+    return made.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot", "doc_id", "first_word")

@@ -1,23 +1,25 @@
 """Exact token counts through a histogram of encoded lengths (operator 3).
 
 Documents are encoded once and aggregated by length; sums over all lengths at or above (or below) a length then answer, for
-every context limit at once, the total of tokens, quantiles and the total after truncation. The running sums are in two
-levels - sums of blocks of lengths, then sums inside a block - so no task sees all lengths.
+every context limit at once, the total of tokens, quantiles and the total after truncation. The histogram, a row a length, is
+written once; the running sums are in two levels - sums of blocks of lengths, then sums inside a block - so no task
+sees all lengths.
 
-Null and empty texts have length 0. Repeated rows count each time; other columns and null ids play no part. An empty table
-gives an empty histogram.
+Null and empty texts have length 0; very long texts are counted whole, a piece of a batch each. Repeated rows and ties in length
+count each time; other columns (whatever their names) and null ids play no part. An empty table gives an empty histogram.
 """
 
 from __future__ import annotations
 
 import base64
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .tokenize import Cache, chunks
+from .tokenize import Cache, Distinct
 
 #: Lengths of one block of the two-level sums.
 BLOCK = 1024
@@ -31,7 +33,7 @@ def _counter(path: str, pattern: str) -> Cache:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         enc = tiktoken.Encoding("counts", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        _counters[path, pattern] = Cache(lambda new: [len(enc.encode_ordinary(c)) for c in new], most=400_000)
+        _counters[path, pattern] = Cache(lambda new: [len(enc.encode_ordinary(c.decode())) for c in new], most=200_000)
     return _counters[path, pattern]
 
 
@@ -42,8 +44,9 @@ def lengths(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches):
         count = _counter(path, pattern)
         for batch in batches:
-            for part in common.pieces(batch):
-                n = [sum(x) for x in count.look_up([chunks(t or "") for t in part.column(1).to_pylist()])]
+            for part in common.pieces(batch, most=4 << 20):
+                d = Distinct(part.column(1))
+                n = d.sums(np.asarray(count.look_up(d.keys), np.int64)) if d.keys else np.zeros(len(part), np.int64)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64())], names=["doc_id", "n_tokens"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long")
@@ -58,6 +61,7 @@ def histogram(counted: DataFrame) -> DataFrame:
     w = Window.partitionBy("block").orderBy(F.col("n_tokens").desc())
     over = Window.orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, -1)
     h = counted.groupBy("n_tokens").agg(F.count("*").alias("n_docs")).withColumn("block", F.floor(F.col("n_tokens") / BLOCK))
+    h = common.save(h, common.scratch(counted.sparkSession), "histogram")
     tokens = F.col("n_tokens") * F.col("n_docs")
     blocks = h.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum(tokens).alias("t"))
     blocks = blocks.select("block", F.coalesce(F.sum("d").over(over), F.lit(0)).alias("d"), F.coalesce(F.sum("t").over(over), F.lit(0)).alias("t"), F.sum("d").over(Window.partitionBy(F.lit(1))).alias("all_docs"), F.sum("t").over(Window.partitionBy(F.lit(1))).alias("all_tokens"))

@@ -1,14 +1,16 @@
 """Deterministic sharded WARC writer and reader (operator 9).
 
-Records are sorted by page_id within id ranges; each range is one task's stream of gzip members, rolled to a new file when the
+Records are range-sorted by page_id and payload digest; each range is one task's stream of gzip members, rolled to a new file when the
 compressed size reaches ROLL_BYTES. Headers, record ids and digests are made anew from the content, dates are a parameter, so
-a rerun writes the same bytes. Files get their final names by a rename when whole, and a manifest lists them.
+a rerun writes the same bytes. Files get their final names by a rename when whole, and a manifest lists them with the place of every
+member, so a reader takes each record from its place; archives without a manifest are read as a stream.
 
 Of pages with equal payloads of at least LEAST bytes, the one with the smallest page_id is a response and the others are revisits
 that name it; they carry no payload. The payload moves once: pages meet their record types in the range shuffle, not by a join.
 
 Null html is an empty payload. A page with a null id is never the smallest; it is a response if no page with an id has its
-payload. Rows with one id and one payload are written each, all of the same type. No pages, no files.
+payload. Rows with one id and one payload are written each, all of the same type; an id with several payloads has records of each.
+Payloads of any length are one record. Further columns, whatever their names, are not read. No pages, no files.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ import hashlib
 import uuid
 import zlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -55,14 +58,27 @@ def record(page, url: str | None, payload: bytes, refers=None, date: str = DATE)
     return gzip.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n", compresslevel=6, mtime=0)
 
 
-def records(data: bytes):
-    """(headers, block) of each gzip member of an archive; raises if one is damaged."""
-    while data:
-        d = zlib.decompressobj(31)
-        whole = d.decompress(data) + d.flush()
-        if not d.eof:
-            raise ValueError("archive ends inside a record")
-        data = d.unused_data
+def members(data: bytes, step: int = 1 << 13):
+    """The uncompressed gzip members of an archive, one after the other; raises if one is cut off."""
+    view, at = memoryview(data), 0
+    while at < len(view):
+        d, parts = zlib.decompressobj(31), []
+        while not d.eof:
+            if at >= len(view):
+                raise ValueError("archive ends inside a record")
+            parts.append(d.decompress(view[at : at + step]))
+            at += step
+        at = min(at, len(view)) - len(d.unused_data)
+        yield b"".join(parts)
+
+
+def records(data: bytes, places: list[int] | None = None):
+    """(headers, block) of each gzip member of an archive, at the given places or one after the other; raises if one is damaged."""
+    if places is None:
+        each = members(data)
+    else:
+        each = (zlib.decompress(data[a:b], 31) for a, b in zip(places, [*places[1:], len(data)], strict=True))
+    for whole in each:
         head, _, rest = whole.partition(b"\r\n\r\n")
         lines = head.decode().split("\r\n")
         headers = dict(x.split(": ", 1) for x in lines[1:])
@@ -81,42 +97,43 @@ def record_types(pages: DataFrame, least: int = LEAST) -> DataFrame:
 
 
 def write(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, date: str = DATE) -> DataFrame:
-    """Write archives below folder; returns the manifest (uri, records, bytes), saved there too."""
+    """Write archives below folder; returns the manifest (uri, records, bytes, places), saved there too."""
     spark = pages.sparkSession
-    common.ready(spark, rows=256)
-    p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    splits = common.range_splits(p, "page_id", 500)
-    types = record_types(pages)
-    both = types.select("page_id", F.lit(None).cast("string").alias("url"), F.col("digest").alias("html"), "refers", F.lit(0).alias("kind")).union(p.select("page_id", "url", "html", F.lit(None).cast("long"), F.lit(1)))
-    placed = both.withColumn("part", common.bucket_of(F.col("page_id"), splits).cast("long")).repartition(len(splits) + 1, "part").sortWithinPartitions("part", F.col("page_id").asc_nulls_last(), "kind", "url", "html")
+    common.ready(spark)
+    html = F.coalesce(F.col("html").cast("string"), F.lit(""))
+    p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.sha2(html, 256).alias("digest"), F.lit(None).cast("long").alias("refers"), F.lit(1).alias("kind"))
+    types = record_types(pages).select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "digest", "refers", F.lit(0).alias("kind"))
+    # A page's type has its page's keys, so both are in one range, the type first.
+    keys = [F.col("page_id").asc_nulls_last(), F.col("digest")]
+    placed = common.ranged(types.union(p), keys, 1000, [*keys, F.col("kind"), F.col("url")])
 
     def run(batches):
-        now, seq, out, size, page, known = None, 0, [], 0, object(), {}
+        from pyspark import TaskContext
+
+        part, seq, out, size, now, refers = TaskContext.get().partitionId(), 0, [], 0, None, None
 
         def flush():
-            uri = f"{folder}/archives/{now:06d}-{seq:06d}.warc.gz"
+            uri = f"{folder}/archives/{part:08d}-{seq:06d}.warc.gz"
             files.write(uri, b"".join(out))
-            return pa.RecordBatch.from_arrays([pa.array([uri]), pa.array([len(out)], pa.int64()), pa.array([size], pa.int64())], names=["uri", "records", "bytes"])
+            places = np.cumsum([0, *map(len, out[:-1])])
+            return pa.RecordBatch.from_arrays([pa.array([uri]), pa.array([len(out)], pa.int64()), pa.array([size], pa.int64()), pa.array([places], pa.list_(pa.int64()))], names=["uri", "records", "bytes", "places"])
 
         for batch in batches:
-            for id_, url, html, refers, kind, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if id_ != page or part != now and out:
-                    page, known = id_, {}
-                if out and (part != now or size >= roll_bytes):
-                    yield flush()
-                    out, size = [], 0
-                    seq = seq + 1 if part == now else 0
-                now = part
+            for id_, url, html, digest, to, kind in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if now != (id_, digest):
+                    now, refers = (id_, digest), None
                 if kind == 0:
-                    known[html] = refers
+                    refers = to
                     continue
-                payload = html.encode("utf-8", "surrogatepass")
-                out.append(record(id_, url, payload, known.get(hashlib.sha256(payload).hexdigest()) if known else None, date))
+                out.append(record(id_, url, html.encode("utf-8", "surrogatepass"), refers, date))
                 size += len(out[-1])
+                if size >= roll_bytes:
+                    yield flush()
+                    seq, out, size = seq + 1, [], 0
         if out:
             yield flush()
 
-    return common.save(placed.mapInArrow(run, "uri string, records long, bytes long"), folder, "manifest")
+    return common.save(placed.mapInArrow(run, "uri string, records long, bytes long, places array<long>"), folder, "manifest")
 
 
 def read(manifest: DataFrame) -> DataFrame:
@@ -128,9 +145,9 @@ def read(manifest: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for uri in batch.column(0).to_pylist():
+            for uri, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 rows = []
-                for h, block in records(files.read(uri)):
+                for h, block in records(files.read(uri), places):
                     digest, n, kind = h["WARC-Payload-Digest"].removeprefix("sha256:"), int(h["X-Payload-Bytes"]), h["WARC-Type"]
                     if kind == "response":
                         payload = block.partition(b"\r\n\r\n")[2]
@@ -139,5 +156,5 @@ def read(manifest: DataFrame) -> DataFrame:
                     rows.append((int(h["X-Page-Id"]) if "X-Page-Id" in h else None, n, digest, kind, int(h["X-Refers-To-Page"]) if "X-Refers-To-Page" in h else None))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=_NAMES)
 
-    n = max(1, min(4096, manifest.count()))
-    return manifest.select("uri").repartition(n).mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    n = max(1, min(common.MOST_TASKS, manifest.count()))
+    return manifest.select("uri", "places").repartition(n).mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
