@@ -31,12 +31,8 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each class of near-duplicates."""
-    found = near_dedup.near_duplicates(docs, width=5)
-    gone = found.where("doc_id is not null and not kept").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    repeated = docs.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept
+    """The least document of each group of near-duplicates; rows with one id and unlike texts are in groups of their own."""
+    return near_dedup.distinct_documents(docs, width=5)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
