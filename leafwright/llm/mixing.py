@@ -178,7 +178,7 @@ def _slots(spark, plans: list[Plan], block: int, shards: int) -> DataFrame:
         runs.append((s, h, k0, total.get(h, 0), c))
         total[h] = total.get(h, 0) + c
     step = 1 << 15
-    each = spark.createDataFrame(runs or [(0, 0, 0, 0, 0)], "s long, h long, k0 long, p0 long, c long").where("c > 0")
+    each = spark.createDataFrame(pa.table({c: pa.array([r[i] for r in runs], pa.int64()) for i, c in enumerate(("s", "h", "k0", "p0", "c"))}))
     each = each.withColumn("o", F.explode(F.expr(f"sequence(0L, c - 1, {step}L)"))).select("s", "h", (F.col("k0") + F.col("o")).alias("k"), (F.col("p0") + F.col("o")).alias("p"), F.least(F.col("c") - F.col("o"), F.lit(step)).alias("c"))
 
     def run(batches):
@@ -213,8 +213,8 @@ def mix(docs: DataFrame, block: int = BLOCK, shards: int = SHARDS):
     pieces = rows.where("size > 0").select("sk", "start", "size", F.explode(F.sequence(first, last)).alias("block"))
     lo, hi = F.greatest(F.col("start"), F.col("block") * block), F.least(F.col("start") + F.col("size"), F.col("block") * block + F.col("most"))
     slices = pieces.join(slots, ["sk", "block"]).select("sk", "start", "pass", "shard", "slot", (lo - F.col("start")).alias("a"), (hi - F.col("start")).alias("b")).where("a < b")
-    facts = spark.createDataFrame([(_key(p.name), p.size, float(p.target)) for p in plans] or [("", 0, 0.0)], "sk string, source_size long, target double")
-    return rows, slices, facts
+    facts = pa.table({"sk": pa.array([_key(p.name) for p in plans], pa.string()), "source_size": pa.array([p.size for p in plans], pa.int64()), "target": pa.array([float(p.target) for p in plans], pa.float64())})
+    return rows, slices, spark.createDataFrame(facts)
 
 
 def taken(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
