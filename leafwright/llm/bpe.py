@@ -1,11 +1,11 @@
 """Byte-level BPE encoding and decoding by recursive DuckDB queries in each partition (operator 4).
 
 The rank file's vocabulary is a merge table: a row (l, r, m) for every way to split token m into two tokens. The distinct
-matches of the pattern in a batch become token-position rows of their bytes, each with the place of the row that follows it. Every
-step of one recursive query joins the rows of the words that changed last with their followers and the merge table, and contracts each
-word's leftmost pair of least rank, until no word has a pair. The recursion is keyed by place, so it keeps each row's newest state
-only: memory is in proportion to the bytes, time to the square of a word's length. Ordered aggregation then gives a word's
-ids and decodes them to bytes. A document's ids are those of its matches in order.
+matches of the pattern in a batch become token-position rows of their bytes, each with the place and token of the row that follows it
+and, joined from the merge table, the rank of the pair of both. Every step of one recursive query contracts each word's leftmost pair of
+least rank and joins the two pairs that this changes with the merge table again, until no word has a pair. The recursion is keyed by
+place, so it keeps each row's newest state only: memory is in proportion to the bytes, time to the square of a word's length. Ordered
+aggregation then gives a word's ids and decodes them to bytes. A document's ids are those of its matches in order.
 
 Chunks of text seen before are taken from a bounded cache of the worker. Null texts are empty; they have no ids. Very long texts are
 encoded whole, a piece of a batch each. Rows pass through one by one: repeated rows, ties, null ids and empty tables need no care,
@@ -26,20 +26,23 @@ from . import common
 from .tokenize import Cache, Distinct
 
 #: Bytes of the words that one query takes.
-BYTES_EACH = 100_000
+BYTES_EACH = 40_000
 
-#: A row's key p is the word's number and the row's place in it; c is the rank and place of a pair in one number.
+#: A row's key p is the word's number and the row's place in it; next is the key of the row that follows, after its token, c the rank
+#: and place of the pair of both in one number (null: no pair). Rows that are contracted into the one before have no token.
 _STEP = """
-WITH RECURSIVE s(p, tok, next) USING KEY (p) AS (
-  SELECT p, tok, next FROM start
+WITH RECURSIVE s(p, tok, next, after, c) USING KEY (p) AS (
+  SELECT start.p, tok, next, after, (m << 32) | (start.p & 4294967295) FROM start LEFT JOIN merges ON pair = (tok << 20 | after)
   UNION
-  (WITH pairs AS MATERIALIZED (
-    SELECT a.p AS p, a.p >> 32 AS w, m.m AS m, b.p AS bp, b.next AS after
-    FROM (SELECT DISTINCT p >> 32 AS w FROM s) changed JOIN recurring.s a ON a.p >> 32 = changed.w
-    JOIN recurring.s b ON b.p = a.next JOIN merges m ON m.pair = (a.tok << 20 | b.tok)),
-  best AS (SELECT w, min((m << 32) | (p & 4294967295)) AS c FROM pairs GROUP BY w),
-  won AS MATERIALIZED (SELECT pairs.* FROM pairs JOIN best ON pairs.w = best.w AND pairs.p & 4294967295 = best.c & 4294967295)
-  SELECT p, m, after FROM won UNION ALL SELECT bp, NULL, NULL FROM won)
+  (WITH live AS MATERIALIZED (SELECT * FROM recurring.s WHERE tok IS NOT NULL),
+  best AS (SELECT p >> 32 AS w, min(c) AS c FROM live WHERE c IS NOT NULL GROUP BY 1),
+  won AS MATERIALIZED (SELECT (w << 32) | (c & 4294967295) AS p, c >> 32 AS m FROM best),
+  pair AS MATERIALIZED (SELECT won.p, m, a.next AS q FROM won JOIN live a ON a.p = won.p),
+  changed AS (
+    SELECT pair.p, m AS tok, b.next, b.after FROM pair JOIN live b ON b.p = q
+    UNION ALL SELECT b.p, b.tok, b.next, m FROM pair JOIN live b ON b.next = pair.p)
+  SELECT p, tok, next, after, (m << 32) | (p & 4294967295) FROM changed LEFT JOIN merges ON merges.pair = (tok << 20 | after)
+  UNION ALL SELECT q, NULL, NULL, NULL, NULL FROM pair)
 )
 SELECT p >> 32 AS word, list(tok::INTEGER ORDER BY p) AS ids, string_agg(t.hex, '' ORDER BY p) AS hex
 FROM s JOIN tokens t ON t.id = s.tok GROUP BY 1 ORDER BY 1
@@ -63,7 +66,7 @@ class Bpe:
         tokens = pa.table({"id": pa.array(list(ranks.values()), pa.int64()), "hex": [t.hex() for t in ranks]})  # noqa: F841
         self.db.execute("CREATE TABLE merges AS SELECT (l << 20) | r AS pair, m FROM parts")
         self.db.execute("CREATE TABLE tokens AS FROM tokens")
-        self.cache = Cache(self.encode_chunks, most=150_000)
+        self.cache = Cache(self.encode_chunks, most=300_000)
 
     def encode_words(self, words: list[bytes]) -> list[tuple[bytes, bytes]]:
         """For each word its ids (little-endian 32-bit) and the bytes these decode to."""
@@ -78,19 +81,25 @@ class Bpe:
             place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             p = (np.repeat(np.arange(len(own)), sizes) << 32) | place
             tok = self.single[np.frombuffer(b"".join([words[i] for i in own.tolist()]), np.uint8)]
-            start = pa.table({"p": p, "tok": tok, "next": pa.array(p + 1, mask=place == np.repeat(sizes, sizes) - 1)})  # noqa: F841
+            last = place == np.repeat(sizes, sizes) - 1
+            start = pa.table({"p": p, "tok": tok, "next": pa.array(p + 1, mask=last), "after": pa.array(np.append(tok[1:], 0), mask=last)})  # noqa: F841
             got = self.db.sql(_STEP).to_arrow_table()
             ids = got["ids"].combine_chunks()
             data, at = np.asarray(ids.values).astype("<u4").tobytes(), (4 * np.asarray(ids.offsets)).tolist()
             for i, a, b, h in zip(own[np.asarray(got["word"])].tolist(), at, at[1:], got["hex"].to_pylist(), strict=False):
-                out[i] = (data[a:b], bytes.fromhex(h))
+                decoded = bytes.fromhex(h)
+                out[i] = (data[a:b], words[i] if decoded == words[i] else decoded)  # equal bytes are held once
         return out
 
     def encode_chunks(self, chunks: list[bytes]) -> list[tuple[bytes, bytes]]:
         found = [self.pattern.findall(c.decode()) for c in chunks]
         number: dict[str, int] = {}
         places = [[number.setdefault(w, len(number)) for w in f] for f in found]
-        words = self.encode_words([w.encode() for w in number])
+        raw = [w.encode() for w in number]
+        for c, p in zip(chunks, places, strict=True):
+            if len(p) == 1:
+                raw[p[0]] = c  # the chunk is the word: one object for both
+        words = self.encode_words(raw)
         return [words[p[0]] if len(p) == 1 else (b"".join([words[i][0] for i in p]), b"".join([words[i][1] for i in p])) for p in places]
 
     def encode(self, texts: pa.Array) -> list[tuple[bytes, bytes]]:
