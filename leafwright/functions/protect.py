@@ -10,6 +10,7 @@ import hashlib
 import re
 import unicodedata
 from collections.abc import Callable
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -27,8 +28,8 @@ def _mark(prefix: str, content: str, index: int) -> str:
     return f"⟦{prefix}_{hashlib.md5(content.encode()).hexdigest()[:6]}_{index}⟧"
 
 
-def _compiled(patterns):
-    return [(re.compile(p, re.DOTALL), k) for p, k in patterns]
+def _compiled(patterns, flags: int = re.DOTALL):
+    return [(re.compile(p, flags), k) for p, k in patterns]
 
 
 def by_priority(text: str, patterns) -> list[tuple[int, int, str]]:
@@ -122,18 +123,18 @@ def _in_turn(text: str, patterns, name: str) -> dict:
 
 
 def protect_markdown(c: Column) -> Column:
-    """patterns in turn; code, links and addresses too."""
-    return _udf(lambda t: _in_turn(t, _compiled(P.CODE + P.FORMULAS[4:] + P.COMMANDS), "__PROTECTED_{}__"), PROTECTED)(c)
+    """34 patterns in turn, over marks as well, so parts of earlier marks are protected again; restoring undoes the last first."""
+    return _udf(lambda t: _in_turn(t, _compiled(P.MARKDOWN, 0), "__PROTECTED_{}__"), PROTECTED)(c)
 
 
 def protect_latex(c: Column) -> Column:
-    """patterns in turn for LaTeX sources."""
-    return _udf(lambda t: _in_turn(t, _compiled(P.FORMULAS[4:] + P.COMMANDS + P.FOOTNOTES[2:]), "__LATEX_PROTECTED_{}__"), PROTECTED)(c)
+    """53 patterns in turn for LaTeX sources, over lines."""
+    return _udf(lambda t: _in_turn(t, _compiled(P.LATEX_FILE, re.MULTILINE), "__LATEX_PROTECTED_{}__"), PROTECTED)(c)
 
 
 def protect_commands(c: Column) -> Column:
-    """F16: inline commands."""
-    return _udf(lambda t: _in_turn(t, _compiled(P.COMMANDS + [(r"\\[a-zA-Z]+\*?(?:\[[^\]]*\])?(?:\{[^{}]*\})?", "command")]), "__LATEX_CMD_{}__"), PROTECTED)(c)
+    """F16: 21 inline commands in turn."""
+    return _udf(lambda t: _in_turn(t, _compiled(P.INLINE_COMMANDS, 0), "__LATEX_CMD_{}__"), PROTECTED)(c)
 
 
 def protect_numbers(c: Column) -> Column:
@@ -189,11 +190,11 @@ SEGMENT = "array<struct<start:int, end:int, text:string, translate:boolean>>"
 
 def segments(c: Column, patterns=None) -> Column:
     """protected and free parts in order; free parts of blanks only are left out."""
-    own = patterns or (P.FORMULAS[4:] + P.COMMANDS + P.CODE[:1] + [(r"(?m)%.*$", "comment"), (r"\\(?:documentclass|usepackage)(?:\[[^\]]*\])?\{[^}]*\}", "preamble")])
+    own = patterns or P.LATEX_PARTS
 
     def run(t: str) -> list:
         out, at = [], 0
-        for a, b in [*union(t, _compiled(own)), (len(t), len(t))]:
+        for a, b in [*union(t, _compiled(own, re.DOTALL | re.MULTILINE)), (len(t), len(t))]:
             if t[at:a].strip():
                 out.append({"start": at, "end": a, "text": t[at:a], "translate": True})
             if b > a:
@@ -374,3 +375,37 @@ def error_positions(c: Column, opening: str = "{", closing: str = "}") -> Column
         return sorted(out + [{"position": p, "kind": "unclosed"} for p in stack], key=lambda x: x["position"])
 
     return _udf(run, "array<struct<position:int, kind:string>>")(c)
+
+
+_OWN_LINE = ("#", "- ", "* ", "$$", "\\[", "\\begin{")
+#: Characters of a line that is a piece of a formula, and the longest such line.
+_MATHS_LINE, _MATHS_LENGTH = re.compile(r"[\s\d+\-=*/()\[\]{}^\\_$α-ωΑ-Ωℏ∂∇∫∑∏√∞±×÷≤≥≠≈→←↔⇒⇐⇔]+"), 20
+
+
+def _runs(lines: list[str], kind: Callable[[str], str], join: str) -> list[str]:
+    """Lines stripped and put together wherever kind is join."""
+    out: list[str] = []
+    for k, run in groupby(lines, kind):
+        out += [" ".join(x.strip() for x in run)] if k == join else [x if k else "" for x in run]
+    return out
+
+
+def join_markdown(c: Column) -> Column:
+    """Lines of a paragraph are one line, headings inside a line get their own, pieces of formulas that follow each other are one
+    line; blank lines, headings, list items and display maths stay lines."""
+
+    def line(x: str) -> str:
+        x = x.strip()
+        return "" if not x else "own" if x.startswith(_OWN_LINE) else "text"
+
+    def maths(x: str) -> str:
+        x = x.strip()
+        return "maths" if x and len(x) < _MATHS_LENGTH and _MATHS_LINE.fullmatch(x) else "other"
+
+    def run(t: str) -> str:
+        t = "\n".join(_runs(t.split("\n"), line, "text"))
+        for mark in ("###", "##"):
+            t = re.sub(rf"(\S)\s*{mark}\s+", rf"\1\n\n{mark} ", t)
+        return "\n".join(_runs(t.split("\n"), maths, "maths"))
+
+    return _udf(run, "string")(c)

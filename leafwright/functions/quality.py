@@ -247,3 +247,27 @@ def retry_delay(attempt: Column, strategy: str = "exponential", initial: float =
     """Q24 without jitter: the delay before the next attempt."""
     d = {"exponential": initial * F.pow(F.lit(base), attempt), "linear": initial * (attempt + 1), "constant": F.lit(initial)}[strategy]
     return F.least(F.coalesce(retry_after, d) if retry_after is not None else d, F.lit(most))
+
+
+def garbage_count(c: Column) -> Column:
+    """Garbage characters of extraction in a text."""
+    return F.regexp_count(c, F.lit("[" + "".join(f"\\x{{{ord(x):x}}}" for x in R.GARBAGE) + "]"))
+
+
+def headings_in_order(c: Column) -> Column:
+    """struct(headings, in_order): lines that begin with a section number, and whether their first numbers never fall."""
+    found = F.regexp_extract_all(c, F.lit(r"(?m)^([0-9]+(?:\.[0-9]+)*)\.[ \t\r\n]+[^\n]+"), 1)
+    first = F.transform(found, lambda x: F.substring_index(x, ".", 1).cast("decimal(38,0)"))
+    return F.struct(found.alias("headings"), (first == F.array_sort(first)).alias("in_order"))
+
+
+def back_translation_check(original: Column, back: Column, least: float = 50.0) -> Column:
+    """Q13: struct(valid, score) of a translation back into the original's language (operators.hooks.once_each makes it)."""
+    score = similarity(original, back)
+    return F.struct((score >= least).alias("valid"), score.alias("score"))
+
+
+def build_errors(log: Column, most: int = 5) -> Column:
+    """struct(first, lines): the first line that begins with !, and up to most lines with ! or Error."""
+    lines = F.split(log, "\n")
+    return F.struct(F.element_at(F.filter(lines, lambda x: x.startswith("!")), 1).alias("first"), F.slice(F.filter(lines, lambda x: F.contains(x, F.lit("!")) | F.contains(x, F.lit("Error"))), 1, most).alias("lines"))

@@ -65,12 +65,14 @@ GERMAN_STYLE = [
     (r"\bSection\s+([0-9]+)", "Abschnitt $1"), (r"\bSec\.\s*([0-9]+)", "Abschn. $1"),
 ]
 GREEK_CALLS = [(r"(?i)\bsigma\s*0\b", "σ0"), (r"(?i)\bsigma\s*\(", "σ("), (r"(?i)=\s*sigma\b", "= σ"), (r"(?i)\(\s*sigma\s*\)", "(σ)"), (r"(?i)\bkappa\s*\(", "κ("), (r"(?i)\brho\s*c", "ρc")]
-GREEK_NAMES = dict(zip("alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega".split(), "αβγδεζηθικλμνξοπρστυφχψω", strict=True))
+GREEK_NAMES = {
+    "alpha": "α", "beta": "β", "gamma": "γ", "delta": "δ", "epsilon": "ε", "zeta": "ζ", "eta": "η", "theta": "θ", "iota": "ι", "kappa": "κ", "lambda": "λ", "mu": "μ",
+    "nu": "ν", "xi": "ξ", "omicron": "ο", "pi": "π", "rho": "ρ", "sigma": "σ", "tau": "τ", "upsilon": "υ", "phi": "φ", "chi": "χ", "psi": "ψ", "omega": "ω",
+}
 EXPONENT_DAMAGE = [
     (r"10\?([0-9]+)\?", "10^$1"), (r"10\?([²³⁴⁵⁶⁷⁸⁹⁰¹])\?", "10^$1"), (r"10\?[−-]\?([0-9])", "10^-$1"), (r"10\?\^?\?([0-9]+)", "10^$1"),
-    (r"10\s+[−-]([0-9]+)", "10^-$1"), (r"([×x])\s*10\?\s*([0-9]+)", "$110^$2"), (r"([0-9]+)\?[−-]\?([0-9]+)", "$1^-$2"),
+    (r"10\s+[−-]([0-9]+)", "10^-$1"), (r"([×x])\s*10\?\s*([0-9]+)", "$1\\10^$2"), (r"([0-9]+)\?[−-]\?([0-9]+)", "$1^-$2"),
 ]
-EXPONENT_DAMAGE[5] = (r"([×x])\s*10\?\s*([0-9]+)", "$1\\10^$2")  # the digits after the group are text
 UNIT_DAMAGE = [(r"([a-zA-Z])\?([a-zA-Z])", "$1.$2"), (r"(kg|g|m|s|Hz|eV|K)\?(m|s|Hz|K)", "$1.$2"), (r"(Hz|eV|K|m|s)\?(\s|$)", "$1$2")]
 MINUS_VARIANTS = "−–—‐‑"
 UNICODE_OUTPUT = [(r"</?[a-zA-Z][^>]*>", ""), (r"\\textbf\{([^}]+)\}", "$1"), (r"\\textit\{([^}]+)\}", "$1"), (r"\\emph\{([^}]+)\}", "$1")]
@@ -81,7 +83,45 @@ DASHES, NO_SPACE_DASH = ("–—―‐‑", "-----"), "\u00ad"
 SPACES = "\u00a0\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl"}
 ZERO_WIDTH = "\u200b\u200c\u200d\u2060\ufeff"
-MOJIBAKE = {"Ã¤": "ä", "Ã¶": "ö", "Ã¼": "ü", "Ã©": "é", "â€™": "'", "â€œ": '"'}
+
+# --- Fixed values: damage of extracted text, literal, in order (I7) -------------------------------------------------------
+EXTRACTION_DAMAGE = {
+    "ﬁ": "fi", "ﬂ": "fl", "ﬀ": "ff", "ﬃ": "ffi", "ﬄ": "ffl",
+    "- \n": "", "-\n": "",
+    "amplication": "amplification", "instabili ties": "instabilities", "reecting": "reflecting", "eective": "effective", "dierential": "differential", "coecient": "coefficient",
+    "\ufffd": "", "  ": " ", "0.0.1 ": "", "1 2.": "2.",
+    "\\expigg": "\\exp\\bigg", "\\exp igg": "\\exp\\bigg", "\\ ext{": "\\text{", " ext{": "\\text{", "\\rac{": "\\frac{", " rac{": "\\frac{",
+    "\nangle": "\\rangle", " heta": "\\theta", "( heta": "(\\theta",
+}
+
+# --- Fixed values: Unicode to LaTeX (I17) ----------------------------------------------------------------------------------
+LATEX_SYMBOLS = {
+    "Α": "A", "Β": "B", "Γ": r"$\Gamma$", "Δ": r"$\Delta$", "Ε": "E", "Ζ": "Z", "Η": "H", "Θ": r"$\Theta$", "Ι": "I", "Κ": "K", "Λ": r"$\Lambda$", "Μ": "M",
+    "Ν": "N", "Ξ": r"$\Xi$", "Ο": "O", "Π": r"$\Pi$", "Ρ": "P", "Σ": r"$\Sigma$", "Τ": "T", "Υ": r"$\Upsilon$", "Φ": r"$\Phi$", "Χ": "X", "Ψ": r"$\Psi$", "Ω": r"$\Omega$",
+    "α": r"$\alpha$", "β": r"$\beta$", "γ": r"$\gamma$", "δ": r"$\delta$", "ε": r"$\varepsilon$", "ζ": r"$\zeta$", "η": r"$\eta$", "θ": r"$\theta$",
+    "ι": r"$\iota$", "κ": r"$\kappa$", "λ": r"$\lambda$", "μ": r"$\mu$", "ν": r"$\nu$", "ξ": r"$\xi$", "ο": "o", "π": r"$\pi$",
+    "ρ": r"$\rho$", "σ": r"$\sigma$", "τ": r"$\tau$", "υ": r"$\upsilon$", "φ": r"$\varphi$", "χ": r"$\chi$", "ψ": r"$\psi$", "ω": r"$\omega$",
+    "ϕ": r"$\phi$", "ϵ": r"$\epsilon$", "ϑ": r"$\vartheta$", "ϱ": r"$\varrho$",
+    "−": "-", "–": "-", "—": "-", "×": r"$\times$", "÷": r"$\div$", "±": r"$\pm$", "∓": r"$\mp$", "·": r"$\cdot$", "∗": r"$\ast$",
+    "≤": r"$\leq$", "≥": r"$\geq$", "≠": r"$\neq$", "≈": r"$\approx$", "≡": r"$\equiv$", "∝": r"$\propto$", "≪": r"$\ll$", "≫": r"$\gg$", "∼": r"$\sim$", "≃": r"$\simeq$",
+    "→": r"$\rightarrow$", "←": r"$\leftarrow$", "↔": r"$\leftrightarrow$", "⇒": r"$\Rightarrow$", "⇐": r"$\Leftarrow$", "⇔": r"$\Leftrightarrow$", "↑": r"$\uparrow$", "↓": r"$\downarrow$",
+    "∂": r"$\partial$", "∇": r"$\nabla$", "∆": r"$\Delta$", "∫": r"$\int$", "∮": r"$\oint$", "∑": r"$\sum$", "∏": r"$\prod$", "√": r"$\sqrt{}$", "∞": r"$\infty$", "∅": r"$\emptyset$",
+    "∈": r"$\in$", "∉": r"$\notin$", "⊂": r"$\subset$", "⊃": r"$\supset$", "⊆": r"$\subseteq$", "⊇": r"$\supseteq$", "∪": r"$\cup$", "∩": r"$\cap$", "∧": r"$\wedge$", "∨": r"$\vee$", "¬": r"$\neg$",
+    "ℏ": r"$\hbar$", "ħ": r"$\hbar$", "ℓ": r"$\ell$", "℘": r"$\wp$", "ℜ": r"$\Re$", "ℑ": r"$\Im$", "⊕": r"$\oplus$", "⊗": r"$\otimes$", "⊥": r"$\perp$", "∥": r"$\parallel$",
+    "†": r"$\dagger$", "‡": r"$\ddagger$", "°": r"$^\circ$", "′": "$'$", "″": "$''$", "…": "...",
+    "₀": "$_0$", "₁": "$_1$", "₂": "$_2$", "₃": "$_3$", "₄": "$_4$", "₅": "$_5$", "₆": "$_6$", "₇": "$_7$", "₈": "$_8$", "₉": "$_9$", "₊": "$_+$", "₋": "$_-$", "₌": "$_=$",
+    "ₐ": "$_a$", "ₑ": "$_e$", "ₒ": "$_o$", "ₓ": "$_x$", "ₕ": "$_h$", "ₖ": "$_k$", "ₗ": "$_l$", "ₘ": "$_m$", "ₙ": "$_n$", "ₚ": "$_p$", "ₛ": "$_s$", "ₜ": "$_t$",
+    "⁰": "$^0$", "¹": "$^1$", "²": "$^2$", "³": "$^3$", "⁴": "$^4$", "⁵": "$^5$", "⁶": "$^6$", "⁷": "$^7$", "⁸": "$^8$", "⁹": "$^9$", "⁺": "$^+$", "⁻": "$^-$", "⁼": "$^=$", "ⁿ": "$^n$", "ⁱ": "$^i$",
+    "\u202f": " ", "\xa0": " ", "\u2009": " ", "\u2003": " ", "\u2002": " ", "\u2004": " ", "\u2005": " ", "\u2006": " ",
+}
+
+# --- Fixed values: garbage characters of extraction (A19): U+FFFD-FFFF and the control characters but tab and line ends ------
+GARBAGE = "\ufffd\ufffe\uffff" + "".join(chr(i) for i in range(32) if i not in (9, 10, 13))
+
+# --- Fixed values: UTF-8 read as Latin-1 (I20) -----------------------------------------------------------------------------
+MOJIBAKE = {"Ã¤": "ä", "Ã¶": "ö", "Ã¼": "ü", "Ã©": "é", "â€™": "'", 'â€"': "–", "â€œ": '"'}
+
+# --- Fixed values: further rules ------------------------------------------------------------------------------------------
 FIGURE_REFERENCES = [(r"\b(Figure|Fig\.|Table|Tab\.|Eq\.|Section)([0-9])", "$1 $2")]
 
 # --- Fixed values: errors ----------------------------------------------------------------------------------------------

@@ -203,8 +203,8 @@ def to_latex_runs(c: Column) -> Column:
 
 
 def fix_encoding(c: Column) -> Column:
-    """UTF-8 read as Latin-1, in order."""
-    return replace_all(c, R.MOJIBAKE)
+    """Ligatures, broken words, numbering and LaTeX commands, literally and in order."""
+    return replace_all(c, R.EXTRACTION_DAMAGE)
 
 
 def sanitize_unicode(c: Column) -> Column:
@@ -271,9 +271,9 @@ def _raise_tag(c: Column, tag: str, f) -> Column:
 
 
 def unicode_to_latex(c: Column) -> Column:
-    """Greek letters and maths signs to commands, in order of the table."""
-    signs = {"±": "pm", "×": "times", "·": "cdot", "÷": "div", "≤": "leq", "≥": "geq", "≠": "neq", "≈": "approx", "∞": "infty", "∂": "partial", "∇": "nabla", "∫": "int", "∑": "sum", "∏": "prod", "∈": "in", "→": "rightarrow", "←": "leftarrow", "⇒": "Rightarrow", "ℏ": "hbar"}
-    return replace_all(c, {g: f"\\{n} " for n, g in R.GREEK_NAMES.items() if n != "omicron"} | {s: f"\\{n} " for s, n in signs.items()})
+    """Greek letters, signs, sub- and superscripts to commands between dollars, odd blanks to blanks. No replacement holds
+    a source, so the order is of no account; texts without a source are left alone."""
+    return F.when(c.rlike("[" + "".join(R.LATEX_SYMBOLS) + "]"), replace_all(c, R.LATEX_SYMBOLS)).otherwise(c)
 
 
 def escape_latex(c: Column, skip_backslash: bool = False) -> Column:

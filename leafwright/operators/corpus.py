@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leafwright.functions import quality as Q
 from leafwright.functions import rules as R
 from leafwright.functions import text as T
 
@@ -134,3 +135,28 @@ def html_share(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """Q17, A19, Q22 over raw pages: counts of tags, damage and garbage."""
     c = F.col("html")
     return pages.select(key, F.regexp_count(c, F.lit("<[^>]+>")).alias("tags"), F.regexp_count(c, F.lit(R.INLINE_HTML)).alias("inline_tags"), F.contains(c, F.lit("�")).alias("has_lost"))
+
+
+def build_report(pages: DataFrame, sources: DataFrame, key: str = "doc_id", more: int = 2) -> DataFrame:
+    """Of each built document (page texts) pages, garbage characters and warnings, against its number of source pages.
+
+    A document without a page in pages has no output.
+    """
+    built = pages.groupBy(key).agg(F.count("*").alias("page_count"), F.sum(Q.garbage_count(F.coalesce("text", F.lit("")))).alias("garbage"))
+    x = sources.join(built, key, "left").withColumns({"garbage": F.coalesce("garbage", F.lit(0)), "pages": F.coalesce("page_count", F.lit(0))})
+    grown = F.when(F.col("pages") > F.col("source_pages") + more, F.concat(F.lit("pages grew: "), F.col("source_pages").cast("string"), F.lit(" to "), F.col("pages").cast("string")))
+    warnings = F.array_compact(F.array(F.when(F.col("page_count").isNull(), F.lit("no output")), F.when(F.col("garbage") > 0, F.concat(F.lit("garbage: "), F.col("garbage").cast("string"))), grown))
+    return x.select(key, F.col("pages").alias("page_count"), "garbage", F.array_join(warnings, "; ").alias("warnings"))
+
+
+def glossary_prompt(glossary: DataFrame, languages: list[str]) -> DataFrame:
+    """For each language the lines term → translation of a glossary (term, lang, translation), in order of terms."""
+    line = F.concat(F.lit("  "), F.col("term"), F.lit(" → "), F.col("translation"))
+    return glossary.where(F.col("lang").isin(*languages)).groupBy("lang").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("term", line.alias("line")))), lambda x: x["line"]), "\n").alias("prompt"))
+
+
+def find_language(names: DataFrame, languages: DataFrame) -> DataFrame:
+    """Names with the language of that name or code (case aside), and its first font, else sans-serif."""
+    keys = languages.select("language", "code", "fonts", F.explode(F.array_distinct(F.array(F.lower("language"), "code"))).alias("_k"))
+    found = names.join(keys, F.lower(F.col("name")) == F.col("_k"), "left").drop("_k")
+    return found.withColumn("font", F.coalesce(F.try_element_at("fonts", F.lit(1)), F.lit("sans-serif"))).drop("fonts")

@@ -41,17 +41,18 @@ def with_defaults(blocks: DataFrame) -> DataFrame:
     return x.withColumns({"x1": F.col("x") + F.col("width"), "y1": F.col("y") + F.col("height"), "cx": F.col("x") + F.col("width") / 2, "cy": F.col("y") + F.col("height") / 2})
 
 
-def anchored_clusters(blocks: DataFrame, value: str, tolerance: float, group: str = "page") -> DataFrame:
+def anchored_clusters(blocks: DataFrame, value: str, tolerance: float | Column, group: str = "page") -> DataFrame:
     """Values in order; a new cluster where one is over tolerance from the first of its cluster. Adds cluster (from
-    0). A fold over the distinct values of a page, not a gap rule."""
+    0). A fold over the distinct values of a page, not a gap rule. A tolerance of each page is an aggregate of its blocks."""
     start = F.struct(F.lit(None).cast("double").alias("anchor"), F.lit(-1).alias("n"), F.array().cast("array<struct<v:double,cluster:int>>").alias("out"))
 
     def step(a, v):
-        fresh = a["anchor"].isNull() | (v - a["anchor"] > tolerance)
+        fresh = a["anchor"].isNull() | (v - a["anchor"] > F.col("_most"))
         n = F.when(fresh, a["n"] + 1).otherwise(a["n"])
         return F.struct(F.when(fresh, v).otherwise(a["anchor"]).alias("anchor"), n.alias("n"), F.array_append(a["out"], F.struct(v.alias("v"), n.alias("cluster"))).alias("out"))
 
-    values = blocks.groupBy(group).agg(F.array_sort(F.collect_set(F.col(value).cast("double"))).alias("vs"))
+    most = tolerance if isinstance(tolerance, Column) else F.max(F.lit(float(tolerance)))
+    values = blocks.groupBy(group).agg(F.array_sort(F.collect_set(F.col(value).cast("double"))).alias("vs"), most.alias("_most"))
     found = values.select(group, F.explode(F.aggregate("vs", start, step)["out"]).alias("e")).select(group, F.col("e.v").alias(value), F.col("e.cluster").alias("cluster"))
     return blocks.withColumn(value, F.col(value).cast("double")).join(found, [group, value])
 
@@ -184,14 +185,15 @@ def anchor_captions(captions: DataFrame, images: DataFrame) -> DataFrame:
 
 
 def is_two_column(blocks: DataFrame, page_width: float, mode: str = "unified") -> DataFrame:
-    """L10 (unified: four blocks, narrow ones only, two a side, a real gap) and L11 (layout: over three a side)."""
-    mid = page_width / 2
+    """L10 (unified: of the blocks under 60 % of the width, at least four, two a side by their centres, 20 points off the middle, with a
+    gap between the sides) and L11 (layout: at least four blocks, over three a side by their centres, off the middle by a fifth)."""
+    mid, centre = page_width / 2, F.col("x") + F.col("width") / 2
     if mode == "layout":
-        g = blocks.groupBy("page").agg(F.count_if(F.col("x") < 0.8 * mid).alias("l"), F.count_if(F.col("x") > 1.2 * mid).alias("r"))
-        return g.select("page", ((F.col("l") > 3) & (F.col("r") > 3)).alias("two_columns"))
+        g = blocks.groupBy("page").agg(F.count("*").alias("n"), F.count_if(centre < 0.8 * mid).alias("l"), F.count_if(centre > 1.2 * mid).alias("r"))
+        return g.select("page", ((F.col("n") >= 4) & (F.col("l") > 3) & (F.col("r") > 3)).alias("two_columns"))
     narrow = F.col("width") < 0.6 * page_width
-    left, right = narrow & (F.col("x") + F.col("width") <= mid + 20), narrow & (F.col("x") >= mid - 20)
-    g = blocks.groupBy("page").agg(F.count("*").alias("n"), F.count_if(left).alias("l"), F.count_if(right).alias("r"), F.max(F.when(left, F.col("x") + F.col("width"))).alias("le"), F.min(F.when(right, F.col("x"))).alias("rs"))
+    left, right = narrow & (centre < mid - 20), narrow & (centre > mid + 20)
+    g = blocks.groupBy("page").agg(F.count_if(narrow).alias("n"), F.count_if(left).alias("l"), F.count_if(right).alias("r"), F.max(F.when(left, F.col("x") + F.col("width"))).alias("le"), F.min(F.when(right, F.col("x"))).alias("rs"))
     return g.select("page", F.coalesce((F.col("n") >= 4) & (F.col("l") >= 2) & (F.col("r") >= 2) & (F.col("le") < F.col("rs")), F.lit(False)).alias("two_columns"))
 
 
@@ -201,18 +203,31 @@ def assign_column(x: Column, width: Column, page_width: float) -> Column:
 
 
 def reading_order(blocks: DataFrame, page_width: float, mode: str = "unified") -> DataFrame:
-    """O2, O3: place of each block: on two-column pages wide ones, left, right, each by y; else by line and x. mode anchoring
-    takes pages whose x spread is over 300 as two columns cut at the middle of the spread."""
+    """O2, O3: place of each block: on two-column pages wide ones, left, right, each by y; else by line (W11: tops within half the page's
+    mean height of the line's first) and x. mode anchoring takes pages whose x spread is over 300 as two columns cut at the
+    middle of the spread, and y and x without lines."""
     if mode == "anchoring":
         g = blocks.groupBy("page").agg((F.max("x") - F.min("x") > 300).alias("two_columns"), ((F.max("x") + F.min("x")) / 2).alias("_mid"))
         x = blocks.join(g, "page")
         key = F.when(~F.col("two_columns"), 0).when(F.col("x") < F.col("_mid"), 1).otherwise(2)
+        order = ["_k", "y", "x", "block"]
     else:
-        x = blocks.join(is_two_column(blocks, page_width), "page")
-        key = F.when(F.col("two_columns"), assign_column(F.col("x"), F.col("width"), page_width)).otherwise(0)
-    x = x.withColumn("_k", key)
-    w = Window.partitionBy("page").orderBy("_k", "y", "x", "block")
-    return x.withColumn("place", F.row_number().over(w) - 1).drop("_k", "two_columns", "_mid")
+        x = anchored_clusters(blocks, "y", F.avg("height") * 0.5).join(is_two_column(blocks, page_width), "page")
+        two = F.col("two_columns")
+        key = F.when(two, assign_column(F.col("x"), F.col("width"), page_width)).otherwise(F.col("cluster"))
+        order = ["_k", F.when(two, F.col("y")), F.when(~two, F.col("x")), F.when(~two, F.col("y")), "block"]
+    w = Window.partitionBy("page").orderBy(*order)
+    return x.withColumn("_k", key).withColumn("place", F.row_number().over(w) - 1).drop("_k", "two_columns", "_mid", "cluster")
+
+
+def line_heights(lines: DataFrame, group: str = "page") -> DataFrame:
+    """The distance of each line's top from that of the line before; null for the first."""
+    return lines.withColumn("line_height", F.col("y") - F.lag("y").over(Window.partitionBy(group).orderBy("y", "block")))
+
+
+def is_heading_block(text: Column, font_size: Column, is_bold: Column) -> Column:
+    """P5: large and bold, or a number before a word."""
+    return F.coalesce((font_size > 12) & is_bold, F.lit(False)) | text.rlike(r"^[0-9]+\.?\s+[0-9A-Za-z_]")
 
 
 def scaled_font(size: Column, before: Column, after: Column) -> Column:

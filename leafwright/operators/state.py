@@ -11,7 +11,7 @@ from leafwright.functions import text as T
 #: Days a cached answer lives, shortest text that is cached, share that an eviction removes.
 TTL_SECONDS, LEAST_CACHED, EVICT_SHARE = 30 * 86400, 10, 5
 #: Share of the whole progress before each phase.
-PHASES = {"initializing": 0, "extracting": 5, "translating": 10, "assembling": 80, "finalizing": 90, "complete": 100, "failed": 0}
+PHASES = {"init": 0, "extraction": 10, "translation": 80, "layout": 95, "output": 98, "complete": 100, "failed": 0}
 
 
 # Cache ---------------------------------------------------------------------------------------------------------------------
@@ -134,12 +134,14 @@ def page_progress(blocks: DataFrame) -> DataFrame:
 
 
 def overall_progress(phase: Column, pages_done: Column, pages: Column) -> Column:
-    """The phase's weight; in translation 10 and up to 70 by pages."""
-    c = F.when(phase == "translating", 10 + 70.0 * F.when(pages > 0, pages_done / pages).otherwise(F.lit(0.0)))
-    for p, v in PHASES.items():
-        if p != "translating":
-            c = c.when(phase == p, F.lit(float(v)))
-    return c.otherwise(F.lit(0.0))
+    """The phase's weight; in translation 10 and up to 70 by pages; 0 without pages or for a phase that has no weight."""
+    weight = F.create_map(*[F.lit(float(x) if isinstance(x, int) else x) for p in PHASES.items() for x in p])
+    return F.when(F.coalesce(pages, F.lit(0)) == 0, 0.0).when(phase == "translation", 10 + 70.0 * pages_done / pages).otherwise(F.coalesce(weight[phase], F.lit(0.0)))
+
+
+def can_resume(phase: Column) -> Column:
+    """P25: neither complete nor failed."""
+    return ~phase.isin("complete", "failed")
 
 
 def rate_and_eta(done: Column, total: Column, elapsed: Column) -> Column:

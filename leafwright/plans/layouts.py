@@ -132,12 +132,13 @@ def anchored_captions(spark, d):
     return L.anchor_captions(*_figures(spark, d))
 
 
-_TWO = f"n AS (SELECT page, coalesce(count(*) >= 4 AND count(*) FILTER (x + width <= 200) >= 2 AND count(*) FILTER (x >= 160) >= 2 AND max(x + width) FILTER (x + width <= 200) < min(x) FILTER (x >= 160), false) AS two FROM b GROUP BY page)"
+_TWO = "n AS (SELECT page, coalesce(count(*) FILTER (width < 216) >= 4 AND count(*) FILTER (l) >= 2 AND count(*) FILTER (r) >= 2 AND max(x + width) FILTER (l) < min(x) FILTER (r), false) AS two FROM (SELECT *, width < 216 AND x + width / 2 < 160 AS l, width < 216 AND x + width / 2 > 200 AS r FROM b) GROUP BY page)"
+_LINES = "v AS (SELECT page, y, row_number() OVER (PARTITION BY page ORDER BY y) AS n FROM (SELECT DISTINCT page, y FROM b)), f(page, n, y, anchor, line) AS (SELECT page, n, y, y, 0 FROM v WHERE n = 1 UNION ALL SELECT v.page, v.n, v.y, CASE WHEN v.y - anchor > 6.0 THEN v.y ELSE anchor END, CASE WHEN v.y - anchor > 6.0 THEN line + 1 ELSE line END FROM f JOIN v ON v.page = f.page AND v.n = f.n + 1)"
 
 
-@query(f"WITH {_SQL}, {_TWO}, k AS (SELECT b.*, CASE WHEN NOT two THEN 0 WHEN width >= 216 THEN 0 WHEN x + width / 2 < 180 THEN 1 ELSE 2 END AS k FROM b JOIN n USING (page)) SELECT page, block, (row_number() OVER (PARTITION BY page ORDER BY k, y, x, block) - 1)::INTEGER AS place FROM k")
+@query(f"WITH RECURSIVE {_SQL}, {_TWO}, {_LINES}, k AS (SELECT b.*, two, CASE WHEN NOT two THEN line WHEN width >= 216 THEN 0 WHEN x + width / 2 < 180 THEN 1 ELSE 2 END AS k FROM b JOIN n USING (page) JOIN f USING (page, y)) SELECT page, block, (row_number() OVER (PARTITION BY page ORDER BY k, CASE WHEN two THEN y END, CASE WHEN NOT two THEN x END, CASE WHEN NOT two THEN y END, block) - 1)::INTEGER AS place FROM k")
 def reading_order_two_column(spark, d):
-    """L10, L12, O2."""
+    """L10, L12, O2, W11."""
     return L.reading_order(_blocks(spark, d), 360.0).select("page", "block", "place")
 
 

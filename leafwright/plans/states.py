@@ -130,12 +130,12 @@ def job_queue_ranked(spark, d):
 
 @query("""WITH p AS (SELECT user_id, count(*) AS done, (user_id % 50) + 200 AS total, sum(value) AS elapsed FROM events GROUP BY user_id)
 SELECT user_id, done, round(elapsed / done, 6) AS mean, round(CASE WHEN elapsed > 0 THEN 60.0::DOUBLE * done / elapsed ELSE 0 END, 6) AS per_minute, total - done AS remaining, round(elapsed / done * (total - done), 4) AS eta, round(100.0::DOUBLE * done / total, 6) AS percent,
-  CASE WHEN done % 3 = 0 THEN 80.0::DOUBLE WHEN done % 3 = 1 THEN round(10 + 70.0::DOUBLE * (done / total::DOUBLE), 6) ELSE 100.0::DOUBLE END AS overall FROM p""")
+  CASE WHEN done % 3 = 0 THEN 95.0::DOUBLE WHEN done % 3 = 1 THEN round(10 + 70.0::DOUBLE * (done / total::DOUBLE), 6) ELSE 100.0::DOUBLE END AS overall FROM p""")
 def progress_rate_eta(spark, d):
     """A user is a job, an event is a page and its value the seconds it took."""
     p = _events(spark, d).groupBy("user_id").agg(F.count("*").alias("done"), F.sum("value").alias("elapsed")).withColumn("total", F.col("user_id") % 50 + 200)
     x = p.withColumn("r", ST.rate_and_eta(F.col("done"), F.col("total"), F.col("elapsed")))
-    phase = F.when(F.col("done") % 3 == 0, "assembling").when(F.col("done") % 3 == 1, "translating").otherwise("complete")
+    phase = F.when(F.col("done") % 3 == 0, "layout").when(F.col("done") % 3 == 1, "translation").otherwise("complete")
     overall = F.round(ST.overall_progress(phase, F.col("done"), F.col("total")), 6)
     return x.select("user_id", "done", F.round("r.mean", 6).alias("mean"), F.round("r.per_minute", 6).alias("per_minute"), F.col("r.remaining").alias("remaining"), F.round("r.eta", 4).alias("eta"), F.round("r.percent", 6).alias("percent"), overall.alias("overall"))
 

@@ -332,3 +332,39 @@ def dictionary_translate(spark, d):
 def text_guards(spark, d):
     """A21, P17b."""
     return _docs(spark, d).select("doc_id", Q.repeats_itself(F.col("text")).alias("repetitive"), T.has_significant_text(F.col("text")).alias("significant"))
+
+
+_SECTIONS = "concat(coalesce(text, ''), chr(10), (doc_id % 3)::INT + 1, '. One', chr(10), (doc_id % 4)::INT + 1, '.2. Two')"
+
+
+@query(f"WITH t AS (SELECT doc_id, regexp_extract_all({_SECTIONS}, '(?m)^([0-9]+(?:\\.[0-9]+)*)\\.[ \\t\\r\\n]+[^\\n]+', 1) AS h FROM documents) SELECT doc_id, len(h)::INTEGER AS headings, list_transform(h, lambda x: split_part(x, '.', 1)::HUGEINT) = list_sort(list_transform(h, lambda x: split_part(x, '.', 1)::HUGEINT)) AS in_order FROM t")
+def heading_order(spark, d):
+    """Two headings are put after each text."""
+    text = F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), (F.col("doc_id") % 3 + 1).cast("string"), F.lit(". One\n"), (F.col("doc_id") % 4 + 1).cast("string"), F.lit(".2. Two"))
+    h = _docs(spark, d).select("doc_id", Q.headings_in_order(text).alias("h"))
+    return h.select("doc_id", F.size("h.headings").alias("headings"), F.col("h.in_order").alias("in_order"))
+
+
+@query("""WITH p AS (SELECT doc_id % 50 AS book, coalesce(text, '') || CASE WHEN doc_id % 7 = 0 THEN chr(65533) || chr(7) ELSE '' END AS text FROM documents),
+b AS (SELECT book, count(*) AS n, sum(len(regexp_extract_all(text, '[' || chr(65533) || chr(65535) || chr(65534) || chr(1) || '-' || chr(8) || chr(11) || chr(12) || chr(14) || '-' || chr(31) || ']')))::BIGINT AS g FROM p GROUP BY book),
+s AS (SELECT DISTINCT doc_id % 60 AS book, 17 + doc_id % 60 % 4 AS source_pages FROM documents)
+SELECT book, coalesce(n, 0) AS page_count, coalesce(g, 0) AS garbage, concat_ws('; ', CASE WHEN n IS NULL THEN 'no output' END, CASE WHEN g > 0 THEN 'garbage: ' || g END, CASE WHEN n > source_pages + 2 THEN 'pages grew: ' || source_pages || ' to ' || n END) AS warnings FROM s LEFT JOIN b USING (book)""")
+def build_reports(spark, d):
+    """A document is a page of one of fifty books."""
+    docs = _docs(spark, d)
+    damaged = F.concat(F.coalesce("text", F.lit("")), F.when(F.col("doc_id") % 7 == 0, F.lit("\ufffd\u0007")).otherwise(F.lit("")))
+    pages = docs.select((F.col("doc_id") % 50).alias("book"), damaged.alias("text"))
+    books = docs.select((F.col("doc_id") % 60).alias("book")).distinct().withColumn("source_pages", 17 + F.col("book") % 4)
+    return C.build_report(pages, books, "book")
+
+
+@query()
+def markdown_joined(spark, d):
+    """Rows only; tests hold it against a version by hand."""
+    return _docs(spark, d).select("doc_id", PR.join_markdown(F.concat(F.coalesce("text", F.lit("")), F.lit("\n# A\nα =\n+ β\nend"))).alias("text"))
+
+
+@query()
+def latex_symbols(spark, d):
+    """Rows only; tests hold them against values by hand."""
+    return _docs(spark, d).select("doc_id", T.fix_encoding(T.unicode_to_latex(F.col("text"))).alias("latex"))
