@@ -150,11 +150,10 @@ def restore(text: Column, spans: Column) -> Column:
 
 
 def verify(restored: Column, spans: Column) -> Column:
-    """struct(leftover marks, originals missing apart from blanks)."""
-    flat = F.regexp_replace(restored, r"\s+", "")
-    return F.struct(
-        F.regexp_extract_all(restored, F.lit("⟦[A-Z]+_[^⟧]*⟧"), 0).alias("left"), F.transform(F.filter(spans, lambda s: ~F.contains(flat, F.regexp_replace(s["original"], r"\s+", ""))), lambda s: s["original"]).alias("missing")
-    )
+    """struct(leftover marks, originals missing apart from blanks); the text without blanks is made once, as a lambda's variable."""
+    flat = lambda c: F.regexp_replace(c, r"\s+", "")
+    lost = F.transform(F.array(flat(restored)), lambda t: F.transform(F.filter(spans, lambda s: ~F.contains(t, flat(s["original"]))), lambda s: s["original"]))
+    return F.struct(F.regexp_extract_all(restored, F.lit("⟦[A-Z]+_[^⟧]*⟧"), 0).alias("left"), lost[0].alias("missing"))
 
 
 def safe_apply(df: DataFrame, column: str, hook: Callable[[Column], Column]) -> DataFrame:

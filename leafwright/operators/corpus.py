@@ -38,24 +38,38 @@ def lines(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def best_match(blocks: DataFrame, paragraphs: DataFrame, least: float = 0.3) -> DataFrame:
     """For each block (block_id, text) the paragraph (para_id, text) with the largest shared-word count over the larger set's
-    size, above least; ties go to the first. Words meet by an equi join; a word's pairs are counted, not all pairs compared."""
-    words = lambda d, k, n: d.select(F.col(k), F.array_distinct(T.tokens(F.col("text"))).alias("w")).select(k, F.size("w").alias(n), F.explode("w").alias("word"))
-    a, b = words(blocks, "block_id", "na"), words(paragraphs, "para_id", "nb")
-    pairs = a.join(b, "word").groupBy("block_id", "para_id").agg(F.count("*").alias("shared"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    s = pairs.withColumn("score", F.col("shared") / F.greatest("na", "nb")).where(F.col("score") > least)
+    size, above least; ties go to the first.
+
+    A pair above least shares one of the n - floor(least * n) first words of each side in one order; the order is rarest first, words
+    that no paragraph has before all, so common words seldom meet. Pairs found so are compared on their whole sets.
+    """
+    sets = lambda d, k, n: d.select(F.col(k), F.array_distinct(T.tokens(F.col("text"))).alias(f"w{n}")).withColumn(n, F.size(f"w{n}"))
+    a, b = sets(blocks, "block_id", "na"), sets(paragraphs, "para_id", "nb")
+    each = a.select("block_id", F.explode("wna").alias("word"))
+    known = b.select(F.explode("wnb").alias("word")).distinct()
+    order = known.join(each.groupBy("word").agg(F.count("*").alias("f")), "word", "left").select("word", F.coalesce("f", F.lit(0)).alias("f"))
+
+    def first_words(d: DataFrame, k: str, n: str) -> DataFrame:
+        seq = d.select(k, F.explode(f"w{n}").alias("word")).join(order, "word").groupBy(k).agg(F.array_sort(F.collect_list(F.struct("f", "word"))).alias("seq"))
+        x = d.select(k, n).join(seq, k).withColumn("more", F.size("seq") - F.floor(F.col(n) * least).cast("int"))
+        return x.where("more > 0").select(k, n, F.explode(F.slice("seq", 1, F.col("more"))["word"]).alias("word"))
+
+    met = first_words(a, "block_id", "na").join(first_words(b, "para_id", "nb"), "word").where(F.least("na", "nb") > F.greatest("na", "nb") * least).select("block_id", "para_id").distinct()
+    both = met.join(a, "block_id").join(b, "para_id")
+    s = both.withColumn("score", F.size(F.array_intersect("wna", "wnb")) / F.greatest("na", "nb")).where(F.col("score") > least)
     return s.groupBy("block_id").agg(F.max_by(F.struct("para_id", "score"), F.struct("score", -F.col("para_id"))).alias("m")).select("block_id", "m.para_id", "m.score")
 
 
 def glossary_coverage(docs: DataFrame, glossary: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Distinct glossary terms of each document's language found among its words; the dictionary is a small dimension."""
+    """Distinct glossary terms of each document's language found among its words (Spark broadcasts the dictionary if it is small)."""
     w = docs.select(key, "lang", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
-    return w.join(F.broadcast(glossary.select("term", F.col("lang"), "translation")), ["term", "lang"]).groupBy(key).agg(F.count("*").alias("terms"), F.array_sort(F.collect_set("term")).alias("found"))
+    return w.join(glossary.select("term", F.col("lang"), "translation"), ["term", "lang"]).groupBy(key).agg(F.count("*").alias("terms"), F.array_sort(F.collect_set("term")).alias("found"))
 
 
 def exact_translation(cells: DataFrame, glossary: DataFrame, language: str) -> DataFrame:
     """A whole trimmed cell that is a term becomes its translation, with a capital if the cell has one; else null."""
     g = glossary.where(F.col("lang") == language).select(F.col("term").alias("_t"), "translation")
-    x = cells.withColumn("_t", F.lower(T.strip(F.col("text")))).join(F.broadcast(g), "_t", "left")
+    x = cells.withColumn("_t", F.lower(T.strip(F.col("text")))).join(g, "_t", "left")
     return x.withColumn("answer", F.when(T.strip(F.col("text")).rlike(r"^\p{Lu}"), F.initcap("translation")).otherwise(F.col("translation"))).drop("_t", "translation")
 
 

@@ -55,10 +55,21 @@ def inconsistent_terms(pairs: DataFrame) -> DataFrame:
     return term_usage(pairs.withColumn("_all", F.lit(0)), "_all").groupBy("term").agg(F.count("*").alias("uses"), F.count_if("kept").alias("kept")).where("kept > 0 and kept < uses")
 
 
+#: Terms that go to every task as one array; beyond, Spark joins them.
+MOST_TERMS = 10_000
+
+
 def needs_refinement(pairs: DataFrame) -> DataFrame:
-    """Pairs whose original holds an inconsistent term, without regard to case; terms are a small, checked list."""
-    bad = inconsistent_terms(pairs).select(F.lower("term").alias("t"))
-    return pairs.join(bad, F.contains(F.lower("original"), F.col("t")), "left_semi")
+    """Pairs whose original holds an inconsistent term, without regard to case.
+
+    A term may stand inside a word, so this is no join on words: up to MOST_TERMS terms are one array that every row is held against.
+    """
+    bad = inconsistent_terms(pairs).select(F.lower("term").alias("t")).distinct()
+    if bad.limit(MOST_TERMS + 1).count() > MOST_TERMS:
+        return pairs.join(bad, F.contains(F.lower("original"), F.col("t")), "left_semi")
+    terms = bad.agg(F.collect_list("t").alias("_terms"))
+    low = F.lower("original")
+    return pairs.crossJoin(F.broadcast(terms)).where(F.exists("_terms", lambda t: F.contains(low, t))).drop("_terms")
 
 
 def aligned_sentences(pairs: DataFrame) -> DataFrame:

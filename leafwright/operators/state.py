@@ -53,22 +53,22 @@ def live(cache: DataFrame, now: Column, ttl: int = TTL_SECONDS) -> DataFrame:
 
 
 def evict(cache: DataFrame, share: int = EVICT_SHARE) -> DataFrame:
-    """Without the least recently used fifth (rounded down). The cut is an exact order statistic from counts of access
-    times, so rows are not sorted in one task; ties at the cut are settled by key."""
-    n = cache.count() // share
-    if not n:
+    """Without the least recently used fifth (rounded down); ties at the cut are settled by key.
+
+    The cut is an exact order statistic from counts, by days, then by the seconds of one day, then by the rows of one second, so no
+    task sorts the rows of the table; the driver gets one row of each count.
+    """
+    left = cache.count() // share
+    if not left:
         return cache
-    times = cache.groupBy("accessed_at").agg(F.count("*").alias("k"))
-    day = F.floor(F.col("accessed_at") / 86400)
-    days = times.groupBy(day.alias("d")).agg(F.sum("k").alias("k")).orderBy("d").collect()  # one row a day
-    before, cut_day = 0, None
-    for r in days:
-        if before + r.k >= n:
-            cut_day = r.d
-            break
-        before += r.k
-    inside = cache.where(day == cut_day).withColumn("_n", F.row_number().over(Window.orderBy("accessed_at", "cache_key"))).where(F.col("_n") > n - before).drop("_n")
-    return cache.where(day > cut_day).unionByName(inside)
+    at, rest, gone = F.col("accessed_at"), cache, F.lit(False)
+    for width in (86400, 1):
+        unit = F.floor(at / width)
+        upto = F.sum("k").over(Window.orderBy("u").rowsBetween(Window.unboundedPreceding, 0))
+        cut = rest.groupBy(unit.alias("u")).agg(F.count("*").alias("k")).withColumn("upto", upto).where(F.col("upto") >= left).orderBy("u").first()
+        gone, rest, left = gone | (unit < cut.u), rest.where(unit == cut.u), left - (cut.upto - cut.k)
+    inside = rest.withColumn("_n", F.row_number().over(Window.orderBy("accessed_at", "cache_key"))).where(F.col("_n") > left).drop("_n")
+    return cache.where(~gone & (F.floor(at) != cut.u)).unionByName(inside)
 
 
 def clear(cache: DataFrame, language: str | None = None) -> DataFrame:
@@ -200,7 +200,7 @@ def context_length(requests: DataFrame, models: DataFrame, default: int = 4096)
     base = lambda c: F.substring_index(c, ":", 1)
     exact = models.select(F.col("name").alias("model"), F.col("context_length").alias("_e"))
     near = models.groupBy(base(F.col("name")).alias("_base")).agg(F.min_by("context_length", "name").alias("_n"))
-    x = requests.withColumn("_base", base(F.col("model"))).join(F.broadcast(exact), "model", "left").join(F.broadcast(near), "_base", "left")
+    x = requests.withColumn("_base", base(F.col("model"))).join(exact, "model", "left").join(near, "_base", "left")
     return x.withColumn("context_length", F.coalesce("_e", "_n", F.lit(default))).drop("_e", "_n", "_base")
 
 
