@@ -66,7 +66,7 @@ class Bpe:
         tokens = pa.table({"id": pa.array(list(ranks.values()), pa.int64()), "hex": [t.hex() for t in ranks]})  # noqa: F841
         self.db.execute("CREATE TABLE merges AS SELECT (l << 20) | r AS pair, m FROM parts")
         self.db.execute("CREATE TABLE tokens AS FROM tokens")
-        self.cache = Cache(self.encode_chunks, most=300_000)
+        self.cache = Cache(self.encode_chunks, most=260_000)
 
     def encode_words(self, words: list[bytes]) -> list[tuple[bytes, bytes]]:
         """For each word its ids (little-endian 32-bit) and the bytes these decode to."""
@@ -117,6 +117,7 @@ _bpe: dict[tuple, Bpe] = {}
 
 
 def worker_bpe(path: str, pattern: str) -> Bpe:
+    common.hold("bpe", _bpe.clear)
     if (path, pattern) not in _bpe:
         _bpe[path, pattern] = Bpe(path, pattern)
     return _bpe[path, pattern]

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +34,23 @@ def ready(spark: SparkSession) -> None:
         spark.conf.set(key, f"{BATCH_BYTES}b")
 
 
+_held: dict[str, Callable[[], None]] = {}
+
+
+def hold(name: str = "", drop: Callable[[], None] | None = None) -> None:
+    """Called where an operator's task begins in a worker: what other operators hold there (caches, encoders) goes."""
+    others = [k for k in _held if k not in (name, "")]
+    for k in others:
+        _held.pop(k)()
+    if others:
+        gc.collect()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):
+            pass  # another C library
+    _held[name] = drop or (lambda: None)
+
+
 def scratch(spark: SparkSession) -> str:
     """A new folder below the cluster's spark.checkpoint.dir, or below the warehouse where that is unset.
 

@@ -145,6 +145,7 @@ def _placed(docs: DataFrame, where: str) -> tuple[DataFrame, list[tuple[str | No
     def run(batches):
         from pyspark import TaskContext
 
+        common.hold()
         part, given = TaskContext.get().partitionId(), {}
         for batch in batches:
             sk, words = batch.column(0).to_pylist(), [s * n for s, n in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)]
@@ -285,6 +286,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     rows, slices, _ = mix(docs)
 
     def run(batches):
+        common.hold()
         at = 6 + names.index("text")
         for batch in batches:
             for part in common.pieces(batch):

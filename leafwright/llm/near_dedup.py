@@ -74,6 +74,7 @@ def sketches(docs: DataFrame, width: int, rows: int = ROWS, halves: int = HALVES
     names = ["doc_id", "hash", "n_shingles", "hi", "lo", "keys"]
 
     def run(batches):
+        common.hold()
         for batch in batches:
             for part in common.pieces(batch):
                 n, key, keys, last = [], [], [], {}
@@ -100,6 +101,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int, repeats: bool) -> Data
     """k, b, head and shingles (sorted distinct hashes) of each class in wanted (k, id, b, head)."""
 
     def run(batches):
+        common.hold()
         for batch in batches:
             for part in common.pieces(batch):
                 names = part.column(0).to_pylist()

@@ -100,6 +100,7 @@ def fit(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE) -> Model:
     common.ready(docs.sparkSession)
 
     def run(batches):
+        common.hold()
         for batch in batches:
             for part in common.pieces(batch):
                 x = features(part.column(2))
@@ -116,6 +117,7 @@ def score(docs: DataFrame, model: Model, cut: int = 1, at: float = 0.5) -> DataF
     common.ready(docs.sparkSession)
 
     def run(batches):
+        common.hold()
         for batch in batches:
             for part in common.pieces(batch, most=1 << 20):
                 tails = model.tails(features(part.column(1))) if model.grades > 1 else np.zeros((len(part), 0))
@@ -131,6 +133,7 @@ def select(docs: DataFrame, model: Model, cut: int = 1, at: float = 0.5) -> Data
     common.ready(docs.sparkSession)
 
     def run(batches):
+        common.hold()
         for batch in batches:
             for part in common.pieces(batch, most=1 << 20):
                 if cut - 1 < len(model.thresholds):

@@ -42,6 +42,7 @@ def lengths(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     common.ready(docs.sparkSession)
 
     def run(batches):
+        common.hold("token_counts", _counters.clear)
         count = _counter(path, pattern)
         for batch in batches:
             for part in common.pieces(batch, most=4 << 20):

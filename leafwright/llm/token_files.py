@@ -167,6 +167,8 @@ def write(docs: DataFrame, path: str, folder: str, shard_tokens: int = SHARD_TOK
     def run(batches):
         from pyspark import TaskContext
 
+        common.hold("token_files", _encoders.clear)
+
         part, seq, held, parts, size = TaskContext.get().partitionId(), 0, [], [], 0
         bits = max(1, _encoder(path)[0].top.bit_length())
 

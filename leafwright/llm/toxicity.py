@@ -146,6 +146,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     common.ready(docs.sparkSession)
 
     def run(batches):
+        common.hold()
         for batch in batches:
             for part in common.pieces(batch):
                 s = model.score([t or b"" for t in part.column(1).cast(pa.binary()).to_pylist()])
@@ -160,6 +161,7 @@ def select(docs: DataFrame, model: Model, below: float = 0.5) -> DataFrame:
     common.ready(docs.sparkSession)
 
     def run(batches):
+        common.hold()
         for batch in batches:
             for part in common.pieces(batch):
                 texts = [t or b"" for t in part.column(part.schema.get_field_index("text")).cast(pa.binary()).to_pylist()]
