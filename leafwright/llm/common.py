@@ -43,14 +43,19 @@ def hold(name: str = "", drop: Callable[[], None] | None = None) -> None:
     for k in others:
         _held.pop(k)()
     if others:
-        gc.collect()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (AttributeError, OSError):
-            pass  # another C library
+        trim()
     _held[name] = drop or (lambda: None)
 
 
+def trim() -> None:
+    """Give freed memory of this process back to the system."""
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
+
+
 def scratch(spark: SparkSession) -> str:
     """A new folder below the cluster's spark.checkpoint.dir, or below the warehouse where that is unset.
 

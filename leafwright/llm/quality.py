@@ -108,8 +108,13 @@ def fit(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE) -> Model:
 
     rated = common.labelled_sample(docs, ratings.where("grade is not null"), ["grade"], sample).select("doc_id", F.col("grade").cast("int").alias("grade"), "text")
     got = sorted(rated.mapInArrow(run, "doc_id long, grade int, x binary").collect(), key=lambda r: r.doc_id)
-    x = np.stack([np.frombuffer(r.x, np.float32) for r in got]) if got else np.zeros((0, BUCKETS + SHARES), np.float32)
-    return train(x, np.asarray([r.grade for r in got], np.int64))
+    x, y = np.empty((len(got), BUCKETS + SHARES), np.float32), np.asarray([r.grade for r in got], np.int64)
+    for i in range(len(got)):
+        x[i], got[i] = np.frombuffer(got[i].x, np.float32), None
+    model = train(x, y)
+    del x, got
+    common.trim()
+    return model
 
 
 def score(docs: DataFrame, model: Model, cut: int = 1, at: float = 0.5) -> DataFrame:

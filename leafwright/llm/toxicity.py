@@ -138,7 +138,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from at most sample labelled texts outside the held-out fold."""
     common.ready(docs.sparkSession)
     got = sorted(common.labelled_sample(docs, labels, ["toxic"], sample).collect(), key=lambda r: r.doc_id)
-    return train([r.text for r in got], [int(r.toxic or 0) for r in got])
+    model = train([r.text for r in got], [int(r.toxic or 0) for r in got])
+    del got
+    common.trim()
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
