@@ -79,6 +79,16 @@ def test_prefix_join_finds_what_stars_miss(spark):
     assert got == {0}
 
 
+def test_repeated_ids_with_unlike_texts(spark):
+    """One component an id; where texts stand for themselves, no group is lost under an id that another group has."""
+    one, two = " ".join(WORDS[:60]), " ".join(WORDS[100:200])
+    d = spark.createDataFrame([(1, one), (5, one), (5, two), (9, two + " end"), (7, ""), (5, "")], "doc_id long, text string")
+    got = {(r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(d, 2).collect()}
+    assert got == {(1, 1, True), (5, 1, False), (9, 1, False), (7, 7, True)}
+    left = sorted((r.doc_id, r.text) for r in near_dedup.distinct_documents(d, 2).collect())
+    assert left == [(1, one), (5, ""), (5, two), (7, "")]
+
+
 def test_quality(spark, odd, none, sf_dir):
     docs, labels = (spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "labels"))
     model = quality.fit(docs, quality.grades(labels))
