@@ -141,8 +141,16 @@ def table_latex(cells: DataFrame, table: str) -> DataFrame:
 
 
 def quality_report(scores: DataFrame, key: str) -> DataFrame:
-    """K7: a document's scores as Markdown."""
-    return scores.select(key, F.format_string("# Quality\n\n| score | value |\n|---|---|\n| overall | %.3f |\n| formulas | %.3f |\n| completeness | %.3f |\n\nLevel: %s", F.col("overall"), F.col("formula_score"), F.col("completeness"), F.col("level")).alias("report"))
+    """K7: a document's scores as Markdown; null if one is missing.
+
+    Three places are rounded from the double's exact value, ties to even, as C's printf does; Java's formatter (format_string) rounds
+    its shortest decimal form, ties up. Leading zeros keep format_number off a short cut of Java's; 0.0005 is above the tie, which it
+    takes it for.
+    """
+    shown = lambda c: F.when(F.col(c) == 0.0005, "0.001").otherwise(F.regexp_replace(F.call_function("format_number", F.col(c), F.lit("000.000")), r"^0+(?=[0-9])", ""))
+    value = lambda name, c: F.concat(F.lit(f"| {name} | "), shown(c), F.lit(" |\n"))
+    rows = [value("overall", "overall"), value("formulas", "formula_score"), value("completeness", "completeness")]
+    return scores.select(key, F.concat(F.lit("# Quality\n\n| score | value |\n|---|---|\n"), *rows, F.lit("\nLevel: "), "level").alias("report"))
 
 
 def html_share(pages: DataFrame, key: str = "page_id") -> DataFrame:

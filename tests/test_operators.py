@@ -161,3 +161,11 @@ def test_acronym_mappings(spark):
     rows = [(1, 1, "NASA flew. The ESA-X saw DNA.", "NASA flog. ESA sah DNA."), (1, 2, "NASA flew. More.", "NASA flog."), (1, 3, "We saw GPS. Later GPS.", "Wir. Dann GPS."), (1, 4, "CO2 and Dna, no caps", "CO2 und"), (1, 5, None, "x")]
     got = pairs.acronym_mappings(frame(spark, "conv_id int, turn int, original string, translated string", *rows)).collect()
     assert sorted((r.turn, r.term, r.translation) for r in got) == [(1, "DNA", "DNA"), (1, "ESA", "ESA"), (1, "NASA", "NASA"), (4, "CO2", "CO2")]
+
+
+def test_quality_report_rounds_as_printf(spark):
+    values = [(99.0625, 92.3625, 62.1025), (0.0, 100.0, 0.0005), (14.5895, 38.2955, 99.3125), (None, 1.0, 1.0)]
+    rows = [(i, *v, "good") for i, v in enumerate(values)]
+    got = {r.k: r.report for r in corpus.quality_report(frame(spark, "k int, overall double, formula_score double, completeness double, level string", *rows), "k").collect()}
+    text = "# Quality\n\n| score | value |\n|---|---|\n| overall | %.3f |\n| formulas | %.3f |\n| completeness | %.3f |\n\nLevel: good"
+    assert got == {i: text % v if None not in v else None for i, v in enumerate(values)}
