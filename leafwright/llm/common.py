@@ -12,28 +12,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shipping import ship
+from ..shipping import ready as ready
 
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "")
 #: Texts of one Arrow batch are handled in pieces of about this many bytes.
 PIECE_BYTES = 1 << 20
-#: Arrow batches go to Python workers in about this many bytes, where the session has no value of its own.
-BATCH_BYTES = 4 << 20
 #: Tasks of one range split at most; beyond, tasks stream more rows each.
 MOST_TASKS = 200_000
 
 
-def ready(spark: SparkSession) -> None:
-    """Send the package to the executors and bound Arrow batches by bytes, unless the session says how.
-
-    The bound is the one setting of the session that operators change; it has no effect on any result.
-    """
-    ship(spark)
-    key, usual = "spark.sql.execution.arrow.maxBytesPerBatch", ("67108864b", "64m", "64MB", None)
-    if spark.conf.get(key, None) in usual:
-        spark.conf.set(key, f"{BATCH_BYTES}b")
-
-
 _held: dict[str, Callable[[], None]] = {}
 
 
