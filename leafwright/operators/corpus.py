@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafwright.functions import quality as Q
 from leafwright.functions import rules as R
 from leafwright.functions import text as T
+from leafwright.functions.batches import over_texts
 
 #: Our own small tables: (term, language, translation) and (code, name, script, direction).
 GLOSSARY = [
@@ -95,11 +95,10 @@ def corruption_places(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """A row for each damage of the eight patterns and of our own, with its kind, place [start, end) in characters and context."""
     own = [(k, re.compile(p)) for k, p in [*SURVEY_CORRUPTIONS, *CORRUPTIONS]]
 
-    def find(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: [] if t is None else [{"kind": k, "start": m.start(), "end": m.end(), "original": m.group(0), "context": t[max(0, m.start() - 20) : m.end() + 20]} for k, p in own for m in p.finditer(t)])
+    def find(t: str) -> list:
+        return [{"kind": k, "start": m.start(), "end": m.end(), "original": m.group(0), "context": t[max(0, m.start() - 20) : m.end() + 20]} for k, p in own for m in p.finditer(t)]
 
-    find.__annotations__ = {"s": pd.Series, "return": pd.Series}
-    x = F.pandas_udf(find, "array<struct<kind:string, start:int, end:int, original:string, context:string>>")(F.col("text"))
+    x = over_texts(find, "array<struct<kind:string, start:int, end:int, original:string, context:string>>", [])(F.col("text"))
     return docs.select(key, F.explode(x).alias("x")).select(key, "x.*")
 
 
