@@ -10,25 +10,30 @@ from collections import defaultdict
 from itertools import groupby
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafwright.functions.batches import cut
+
+#: Rows of pages that a worker holds as Python objects at once.
+PIECE_ROWS = 4096
 #: Tolerances in points.
 COLUMN_TOLERANCE, ROW_TOLERANCE, CAPTION_GAP, FAR_PENALTY = 8.0, 8.0, 100.0, 1000.0
 
 
 def by_page(rows: DataFrame, columns: list[str], f, schema: str) -> DataFrame:
-    """f(page, rows as dicts) -> tuples, over each page's rows gathered to one array: many pages go to Python in one Arrow batch.
-    A page's blocks are few; pages are spread over all tasks."""
+    """f(page, rows as dicts) -> tuples, over each page's rows gathered to one array: many pages go to Python in one Arrow batch,
+    of which some thousand rows at a time become Python objects. A page's blocks are few; pages are spread over all tasks."""
     g = rows.groupBy("page").agg(F.collect_list(F.struct(*columns)).alias("rows"))
     out = g.sparkSession.createDataFrame([], schema).schema
 
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        for batch in batches:
+        kinds = to_arrow_schema(out)
+        for batch in (b.slice(*at) for b in batches for at in cut(pc.list_value_length(b.column(1)), PIECE_ROWS)):
             made = [r for page, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for r in f(page, own)]
-            kinds = to_arrow_schema(out)
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in made], k.type) for i, k in enumerate(kinds)], names=kinds.names)
 
     return g.mapInArrow(run, out)
