@@ -41,21 +41,30 @@ def best_match(blocks: DataFrame, paragraphs: DataFrame, least: float = 0.3) ->
     size, above least; ties go to the first.
 
     A pair above least shares one of the n - floor(least * n) first words of each side in one order; the order is rarest first, words
-    that no paragraph has before all, so common words seldom meet. Pairs found so are compared on their whole sets.
+    that no paragraph has before all, so common words seldom meet. Pairs found so are compared on all words that both can have.
+    Blocks whose number of words is too far from every paragraph's have no such pair; the others' words that paragraphs have are dealt
+    out once, and that exchange serves each use.
     """
-    sets = lambda d, k, n: d.select(F.col(k), F.array_distinct(T.tokens(F.col("text"))).alias(f"w{n}")).withColumn(n, F.size(f"w{n}"))
-    a, b = sets(blocks, "block_id", "na"), sets(paragraphs, "para_id", "nb")
-    each = a.select("block_id", F.explode("wna").alias("word"))
+    sets = lambda d, k, n: d.where(F.col(k).isNotNull()).select(F.col(k), F.array_distinct(T.tokens(F.col("text"))).alias(f"w{n}")).withColumn(n, F.size(f"w{n}"))
+    b = sets(paragraphs, "para_id", "nb")
+    sizes = b.agg(F.min("nb").alias("lo"), F.max("nb").alias("hi"))
+    a = sets(blocks, "block_id", "na").crossJoin(F.broadcast(sizes)).where((F.col("na") > F.col("lo") * least) & (F.col("hi") > F.col("na") * least))
     known = b.select(F.explode("wnb").alias("word")).distinct()
-    order = known.join(each.groupBy("word").agg(F.count("*").alias("f")), "word", "left").select("word", F.coalesce("f", F.lit(0)).alias("f"))
+    each = a.select("block_id", "na", F.explode("wna").alias("word")).join(known, "word").select("block_id", "na", "word").repartition("block_id")
+    # count_if and not count, so that this use needs the same columns as the others
+    order = known.join(each.groupBy("word").agg(F.count_if(F.col("na") > 0).alias("f")), "word", "left").select("word", F.coalesce("f", F.lit(0)).alias("f"))
 
-    def first_words(d: DataFrame, k: str, n: str) -> DataFrame:
-        seq = d.select(k, F.explode(f"w{n}").alias("word")).join(order, "word").groupBy(k).agg(F.array_sort(F.collect_list(F.struct("f", "word"))).alias("seq"))
-        x = d.select(k, n).join(seq, k).withColumn("more", F.size("seq") - F.floor(F.col(n) * least).cast("int"))
+    def in_order(d: DataFrame, k: str, n: str) -> DataFrame:
+        return d.join(order, "word").groupBy(k, n).agg(F.array_sort(F.collect_list(F.struct("f", "word"))).alias("seq"))
+
+    def first_words(seq: DataFrame, k: str, n: str) -> DataFrame:
+        x = seq.withColumn("more", F.size("seq") - F.floor(F.col(n) * least).cast("int"))
         return x.where("more > 0").select(k, n, F.explode(F.slice("seq", 1, F.col("more"))["word"]).alias("word"))
 
-    met = first_words(a, "block_id", "na").join(first_words(b, "para_id", "nb"), "word").where(F.least("na", "nb") > F.greatest("na", "nb") * least).select("block_id", "para_id").distinct()
-    both = met.join(a, "block_id").join(b, "para_id")
+    seq_a = in_order(each, "block_id", "na")
+    seq_b = in_order(b.select("para_id", "nb", F.explode("wnb").alias("word")), "para_id", "nb")
+    met = first_words(seq_a, "block_id", "na").join(first_words(seq_b, "para_id", "nb"), "word").where(F.least("na", "nb") > F.greatest("na", "nb") * least).select("block_id", "para_id").distinct()
+    both = met.join(seq_a.select("block_id", "na", F.col("seq.word").alias("wna")), "block_id").join(b, "para_id")
     s = both.withColumn("score", F.size(F.array_intersect("wna", "wnb")) / F.greatest("na", "nb")).where(F.col("score") > least)
     return s.groupBy("block_id").agg(F.max_by(F.struct("para_id", "score"), F.struct("score", -F.col("para_id"))).alias("m")).select("block_id", "m.para_id", "m.score")
 
