@@ -57,13 +57,14 @@ def level(score: Column) -> Column:
 
 
 def formula_symbols(c: Column) -> Column:
-    """Formulas, Greek letters, signs, super- and subscripts."""
-    return T.count_any(c, R.PAIR_FORMULAS)
+    """Formulas, Greek letters, signs, super- and subscripts; the last four are sets of characters beyond ASCII without a common one."""
+    beyond = F.regexp_replace(c, r"[\x00-\x7F]+", "")
+    return T.count_any(T.dollars(c), R.PAIR_FORMULAS[:1]) + T.count_any(beyond, ["[" + "".join(p[1:-1] for p in R.PAIR_FORMULAS[1:]) + "]"])
 
 
 def references(c: Column) -> Column:
     """Numeric, figure and equation references."""
-    return T.count_any(c, R.PAIR_REFERENCES)
+    return reduce(lambda a, b: a + b, [T.count_if_there(c, sign, [p]) for sign, p in zip(("[", "Fig", "Eq."), R.PAIR_REFERENCES, strict=True)])
 
 
 def corruption(c: Column) -> Column:
