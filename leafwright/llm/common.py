@@ -19,6 +19,8 @@ TOKENIZERS = os.environ.get("TOKENIZER_DIR", "")
 PIECE_BYTES = 1 << 20
 #: Tasks of one range split at most; beyond, tasks stream more rows each.
 MOST_TASKS = 200_000
+#: The manifest of so many ranges of files is one file of a table.
+RANGES_A_MANIFEST = 64
 
 
 _held: dict[str, Callable[[], None]] = {}
@@ -132,11 +134,29 @@ def pieces(batch: pa.RecordBatch, column: str = "text", most: int = PIECE_BYTES)
     yield batch.slice(start)
 
 
-def ranged(df: DataFrame, keys: list, rows_each: int, order: list | None = None) -> DataFrame:
-    """df range-shuffled by keys into about rows_each rows a partition and sorted in each by order (keys, if not given).
+def ranges(df: DataFrame, rows_each: int) -> int:
+    """How many ranges of about rows_each rows df has."""
+    return int(min(MOST_TASKS, max(1, -(-df.count() // rows_each))))
+
+
+def ranged(df: DataFrame, keys: list, rows_each: int, order: list | None = None, parts: int = 0) -> DataFrame:
+    """df range-shuffled by keys into about rows_each rows a partition (or parts) and sorted in each by order (keys, if not given).
 
     The partition's number (TaskContext) is then its place among the ranges. Keys that go on with a hash of the row split an
     id that many rows have.
     """
-    parts = int(min(MOST_TASKS, max(1, -(-df.count() // rows_each))))
-    return df.repartitionByRange(parts, *keys).sortWithinPartitions(*(order or keys))
+    return df.repartitionByRange(parts or ranges(df, rows_each), *keys).sortWithinPartitions(*(order or keys))
+
+
+def save_manifest(written: DataFrame, parts: int, where: str) -> DataFrame:
+    """Save what the tasks of parts ranges say of the files that they wrote, in few tables' files instead of one a task.
+
+    Spark's local file system forks the executor's JVM twice for each file of a table to set its rights.
+    """
+    return save(written.repartition(-(-parts // RANGES_A_MANIFEST)), where, "manifest")
+
+
+def readers(manifest: DataFrame, size: str, each: int) -> int:
+    """Tasks to read a manifest's files back: about each of column size a task, but no cores idle; a file each at most."""
+    files, total = manifest.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    return max(1, min(files, MOST_TASKS, max(manifest.sparkSession.sparkContext.defaultParallelism, -(-total // each))))

@@ -31,6 +31,8 @@ from .tokenize import Cache, Distinct, Joined
 
 END = 0
 SHARD_TOKENS = 2_000_000
+#: Ids that a task reads back, or one file.
+READ_TOKENS = 1_000_000
 _encoders: dict[str, tuple[Joined, Cache]] = {}
 
 
@@ -199,7 +201,8 @@ def write(docs: DataFrame, path: str, folder: str, shard_tokens: int = SHARD_TOK
         if held:
             yield flush()
 
-    return common.save(common.ranged(t, keys, 2000).mapInArrow(run, "part long, seq long, docs long, tokens long, uri string"), folder, "manifest")
+    ranges = common.ranges(t, 2000)
+    return common.save_manifest(common.ranged(t, keys, 2000, parts=ranges).mapInArrow(run, "part long, seq long, docs long, tokens long, uri string"), ranges, folder)
 
 
 def read(manifest: DataFrame) -> DataFrame:
@@ -217,5 +220,5 @@ def read(manifest: DataFrame) -> DataFrame:
                 crc = [zlib.crc32(ids[a:b]) for a, b in zip(starts, ends, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(np.asarray(starts, np.int64) + first), pa.array(np.asarray(ends, np.int64) - np.asarray(starts, np.int64)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    n = max(1, min(common.MOST_TASKS, manifest.count()))
+    n = common.readers(manifest, "tokens", READ_TOKENS)
     return placed.repartition(n).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")

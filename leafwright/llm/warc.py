@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from . import common, files
 
 LEAST, ROLL_BYTES, DATE = 100, 32 << 20, "2024-01-01T00:00:00Z"
+#: Bytes of archives that a task reads back, or one archive.
+READ_BYTES = 4 << 20
 _NAMES = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
 
 
@@ -105,7 +107,9 @@ def write(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, date: str
     types = record_types(pages).select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "digest", "refers", F.lit(0).alias("kind"))
     # A page's type has its page's keys, so both are in one range, the type first.
     keys = [F.col("page_id").asc_nulls_last(), F.col("digest")]
-    placed = common.ranged(types.union(p), keys, 1000, [*keys, F.col("kind"), F.col("url")])
+    both = types.union(p)
+    parts = common.ranges(both, 1000)
+    placed = common.ranged(both, keys, 1000, [*keys, F.col("kind"), F.col("url")], parts)
 
     def run(batches):
         from pyspark import TaskContext
@@ -133,7 +137,7 @@ def write(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, date: str
         if out:
             yield flush()
 
-    return common.save(placed.mapInArrow(run, "uri string, records long, bytes long, places array<long>"), folder, "manifest")
+    return common.save_manifest(placed.mapInArrow(run, "uri string, records long, bytes long, places array<long>"), parts, folder)
 
 
 def read(manifest: DataFrame) -> DataFrame:
@@ -156,5 +160,5 @@ def read(manifest: DataFrame) -> DataFrame:
                     rows.append((int(h["X-Page-Id"]) if "X-Page-Id" in h else None, n, digest, kind, int(h["X-Refers-To-Page"]) if "X-Refers-To-Page" in h else None))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=_NAMES)
 
-    n = max(1, min(common.MOST_TASKS, manifest.count()))
+    n = common.readers(manifest, "bytes", READ_BYTES)
     return manifest.select("uri", "places").repartition(n).mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")

@@ -291,6 +291,18 @@ def test_warc(spark, tmp_path):
     assert warc.read(warc.write(d.limit(0), f"file://{tmp_path}/n")).count() == 0
 
 
+def test_manifests_are_in_few_files(spark, tmp_path, monkeypatch):
+    kind = type(spark.range(0))
+    deal = kind.repartitionByRange
+    monkeypatch.setattr(kind, "repartitionByRange", lambda df, n, *c: deal(df, max(n, 20), *c))
+    d = spark.createDataFrame([(i, "u", f"{i} " * 100) for i in range(200)], "page_id long, url string, html string")
+    pages = warc.write(d, f"file://{tmp_path}/p")
+    ids = token_files.write(d.selectExpr("page_id AS doc_id", "html AS text"), common.tokenizer_file("byte_bpe_50k.json"), f"file://{tmp_path}/t")
+    for folder, manifest, got in (("p", pages, warc.read(pages)), ("t", ids, token_files.read(ids))):
+        assert manifest.count() > 10 and len(list((tmp_path / folder / "manifest").glob("part-*"))) == 1
+        assert got.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism and got.count() == 200
+
+
 def test_media(spark, odd, none, tmp_path):
     where = f"file://{tmp_path}/m"
     got = media.features(media.store(odd, where), where).collect()
