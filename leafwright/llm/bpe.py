@@ -27,6 +27,8 @@ from .tokenize import Cache, Distinct
 
 #: Bytes of the words that one query takes.
 BYTES_EACH = 40_000
+#: Chunks of one generation of a worker's cache, each of about 160 bytes.
+CHUNKS_HELD = 600_000
 
 #: A row's key p is the word's number and the row's place in it; next is the key of the row that follows, after its token, c the rank
 #: and place of the pair of both in one number (null: no pair). Rows that are contracted into the one before have no token.
@@ -66,7 +68,7 @@ class Bpe:
         tokens = pa.table({"id": pa.array(list(ranks.values()), pa.int64()), "hex": [t.hex() for t in ranks]})  # noqa: F841
         self.db.execute("CREATE TABLE merges AS SELECT (l << 20) | r AS pair, m FROM parts")
         self.db.execute("CREATE TABLE tokens AS FROM tokens")
-        self.cache = Cache(self.encode_chunks, most=260_000)
+        self.cache = Cache(self.encode_chunks, most=CHUNKS_HELD)
 
     def encode_words(self, words: list[bytes]) -> list[tuple[bytes, bytes]]:
         """For each word its ids (little-endian 32-bit) and the bytes these decode to."""
@@ -91,7 +93,8 @@ class Bpe:
                 out[i] = (data[a:b], words[i] if decoded == words[i] else decoded)  # equal bytes are held once
         return out
 
-    def encode_chunks(self, chunks: list[bytes]) -> list[tuple[bytes, bytes]]:
+    def encode_chunks(self, chunks: list[bytes]) -> list[bytes | tuple[bytes, bytes]]:
+        """For each chunk its ids; with what they decode to, where that is not the chunk (a tuple each would fill the cache)."""
         found = [self.pattern.findall(c.decode()) for c in chunks]
         number: dict[str, int] = {}
         places = [[number.setdefault(w, len(number)) for w in f] for f in found]
@@ -100,7 +103,8 @@ class Bpe:
             if len(p) == 1:
                 raw[p[0]] = c  # the chunk is the word: one object for both
         words = self.encode_words(raw)
-        return [words[p[0]] if len(p) == 1 else (b"".join([words[i][0] for i in p]), b"".join([words[i][1] for i in p])) for p in places]
+        whole = [words[p[0]] if len(p) == 1 else (b"".join([words[i][0] for i in p]), b"".join([words[i][1] for i in p])) for p in places]
+        return [v[0] if v[1] == c else v for c, v in zip(chunks, whole, strict=True)]
 
     def encode(self, texts: pa.Array) -> list[tuple[bytes, bytes]]:
         """For each text its ids (little-endian 32-bit) and the bytes they decode to."""
@@ -108,7 +112,8 @@ class Bpe:
         if not d.keys:
             return [(b"", b"")] * len(texts)
         values = self.cache.look_up(d.keys)
-        (ids, a), (raw, b) = d.joined([v[0] for v in values], "<u4"), d.joined([v[1] for v in values], np.uint8)
+        both = [(v, k) if isinstance(v, bytes) else v for k, v in zip(d.keys, values, strict=True)]
+        (ids, a), (raw, b) = d.joined([v[0] for v in both], "<u4"), d.joined([v[1] for v in both], np.uint8)
         ids, raw, a, b = ids.tobytes(), raw.tobytes(), (4 * a).tolist(), b.tolist()
         return [(ids[a[i] : a[i + 1]], raw[b[i] : b[i + 1]]) for i in range(len(texts))]
 

@@ -167,6 +167,24 @@ def test_long_words():
     assert got == [enc.encode_ordinary(w) for w in words]
 
 
+def test_bpe_encodes_a_chunk_once_in_a_worker():
+    b = bpe.Bpe(common.tokenizer_file(MULTI), pattern())
+    keys = [b" w%d" % i for i in range(600_000)]
+    assert b.cache.look_up(keys[:50]) == [np.asarray(_tiktoken(MULTI).encode_ordinary(k.decode()), "<u4").tobytes() for k in keys[:50]]
+    calls, b.cache.encode = [], lambda new: calls.append(len(new)) or [b""] * len(new)
+    for _ in range(2):
+        for i in range(0, len(keys), 8000):
+            b.cache.look_up(keys[i : i + 8000])
+    assert sum(calls) == len(keys) - 50
+
+
+def test_decoded_bytes_come_from_the_ids(monkeypatch):
+    b = bpe.Bpe(common.tokenizer_file(MULTI), pattern())
+    real = b.encode_words
+    monkeypatch.setattr(b, "encode_words", lambda words: [(ids, raw.replace(b"cat", b"dog")) for ids, raw in real(words)])
+    assert [x[1] for x in b.encode(pa.array(["a cat, a cat", "b", None]))] == [b"a dog, a dog", b"b", b""]
+
+
 def test_length_histogram(spark, odd, none):
     enc = _tiktoken("byte_bpe_50k.tiktoken")
     n = [len(enc.encode_ordinary(t or "")) for _, t in ODD]
