@@ -61,9 +61,12 @@ def scratch(spark: SparkSession) -> str:
 
 
 def save(df: DataFrame, where: str, name: str) -> DataFrame:
-    """Write a table below where and read it again: cuts lineage and survives lost executors."""
+    """Write a table below where and read it again: cuts lineage and survives lost executors.
+
+    No _SUCCESS file: nothing reads it, and where Hadoop has no native library the driver would fork twice to set its rights.
+    """
     spark = df.sparkSession
-    df.write.mode("overwrite").option("compression", "zstd").parquet(f"{where}/{name}")
+    df.write.mode("overwrite").option("compression", "zstd").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{where}/{name}")
     return spark.read.schema(df.schema).parquet(f"{where}/{name}")
 
 
@@ -115,6 +118,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_cols: list[str], l
     return texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", *label_cols).agg(F.min("text").alias("text"))
 
 
+def in_one_task(sample: DataFrame, *keys: str) -> DataFrame:
+    """A bounded sample as one partition sorted by keys, for a model to be fitted on an executor instead of the driver."""
+    return sample.repartition(1).sortWithinPartitions(*keys)
+
+
 def pieces(batch: pa.RecordBatch, column: str = "text", most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about most bytes of text each; a longer text is a slice of its own."""
     at = batch.schema.get_field_index(column)

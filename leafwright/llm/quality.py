@@ -6,7 +6,7 @@ decides selection.
 
 Features of a whole text: relative frequencies of byte 3-grams hashed into BUCKETS (square roots, unit length) and a few
 shares (distinct words, upper case, digits, marks, blanks, most frequent word, length). Training reads at most SAMPLE rated
-rows outside the held-out fold (a hash of the id picks them). Null and empty texts have zero features. With one grade or no
+rows outside the held-out fold (a hash of the id picks them), in one task: the driver gets the model only. Null and empty texts have zero features. With one grade or no
 rating at all every document has that grade (or grade 0) with probability 1 and is selected. Repeated rows and null ids keep
 their rows; other columns are not read.
 """
@@ -101,20 +101,22 @@ def fit(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE) -> Model:
 
     def run(batches):
         common.hold()
+        x, y = np.empty((sample, BUCKETS + SHARES), np.float32), np.zeros(sample, np.int64)
+        n = 0
         for batch in batches:
             for part in common.pieces(batch):
-                x = features(part.column(2))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "grade", "x"])
-
-    rated = common.labelled_sample(docs, ratings.where("grade is not null"), ["grade"], sample).select("doc_id", F.col("grade").cast("int").alias("grade"), "text")
-    got = sorted(rated.mapInArrow(run, "doc_id long, grade int, x binary").collect(), key=lambda r: r.doc_id)
-    x, y = np.empty((len(got), BUCKETS + SHARES), np.float32), np.asarray([r.grade for r in got], np.int64)
-    for i in range(len(got)):
-        x[i], got[i] = np.frombuffer(got[i].x, np.float32), None
-    model = train(x, y)
-    del x, got
-    common.trim()
-    return model
+                x[n : n + len(part)], y[n : n + len(part)] = features(part.column(1)), np.asarray(part.column(0))
+                n += len(part)
+        model = train(x[:n], y[:n])
+        del x, y
+        common.trim()
+        yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()]), pa.array([model.thresholds.tobytes()]), pa.array([model.grades], pa.int64())], names=["weights", "thresholds", "grades"])
+
+    rated = common.labelled_sample(docs, ratings.where("grade is not null"), ["grade"], sample).select("doc_id", F.col("grade").cast("long").alias("grade"), "text")
+    got = common.in_one_task(rated, "doc_id").select("grade", "text").mapInArrow(run, "weights binary, thresholds binary, grades long").collect()
+    if not got:  # Spark may leave out a task that has no rows
+        return train(np.zeros((0, BUCKETS + SHARES), np.float32), np.zeros(0, np.int64))
+    return Model(np.frombuffer(got[0].weights, np.float32), np.frombuffer(got[0].thresholds, np.float64), got[0].grades)
 
 
 def score(docs: DataFrame, model: Model, cut: int = 1, at: float = 0.5) -> DataFrame:

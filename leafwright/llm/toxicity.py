@@ -6,7 +6,8 @@ ordinary dictionary and once with the toxic one, which holds the toxic segments
 lengths differ only by what toxic text explains. The counts of a text's windows above each saved-bytes threshold are its
 distances; a logistic fit on labelled texts calibrates them to a score between 0 and 1.
 
-Labels are read only of ids with crc32(id) mod 5 <> 0, at most SAMPLE of them (a hash of the id picks). All of these, with their
+Labels are read only of ids with crc32(id) mod 5 <> 0, at most SAMPLE of them (a hash of the id picks); one task learns from them and the
+driver gets the model only. All of these, with their
 whole texts, train the ordinary dictionary and the calibration, so that scores keep the labels' share of toxic texts; language, source, id
 and label are never inputs of a score. Null and empty texts are one empty window and get the score of a text with no toxic
 window. Without labels of both kinds the score is the share of toxic ones (0 without any). Repeated rows and null ids keep
@@ -137,11 +138,24 @@ def train(texts: list[str], toxic: list[int]) -> Model:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from at most sample labelled texts outside the held-out fold."""
     common.ready(docs.sparkSession)
-    got = sorted(common.labelled_sample(docs, labels, ["toxic"], sample).collect(), key=lambda r: r.doc_id)
-    model = train([r.text for r in got], [int(r.toxic or 0) for r in got])
-    del got
-    common.trim()
-    return model
+
+    def run(batches):
+        common.hold()
+        texts, toxic = [], []
+        for batch in batches:
+            texts += batch.column(1).to_pylist()
+            toxic += batch.column(0).to_pylist()
+        m = train(texts, toxic)
+        del texts, toxic
+        common.trim()
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (m.ordinary, m.toxic, m.mean.tobytes(), m.scale.tobytes(), m.weights.tobytes())], names=["ordinary", "toxic", "mean", "scale", "weights"])
+
+    labelled = common.labelled_sample(docs, labels, ["toxic"], sample).select("doc_id", F.coalesce(F.col("toxic"), F.lit(0)).cast("int").alias("toxic"), "text")
+    got = common.in_one_task(labelled, "doc_id").select("toxic", "text").mapInArrow(run, "ordinary binary, toxic binary, mean binary, scale binary, weights binary").collect()
+    if not got:  # Spark may leave out a task that has no rows
+        return train([], [])
+    (r,) = got
+    return Model(bytes(r.ordinary), None if r.toxic is None else bytes(r.toxic), *(np.frombuffer(x, np.float64) for x in (r.mean, r.scale, r.weights)))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

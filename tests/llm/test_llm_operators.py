@@ -126,6 +126,27 @@ def test_toxicity(spark, odd, none):
     assert toxicity.score(odd, one_kind).where("predicted = 0").count() == len(ODD)
 
 
+def test_fits_send_the_driver_only_models(spark, sf_dir, monkeypatch):
+    docs, labels = (spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "labels"))
+    sizes, collect = [], type(docs).collect
+
+    def weighed(df):
+        got = collect(df)
+        sizes.append(sum(len(x) for r in got for x in r if isinstance(x, str | bytes | bytearray)))
+        return got
+
+    with monkeypatch.context() as m:
+        m.setattr(type(docs), "collect", weighed)
+        q, t = quality.fit(docs, quality.grades(labels)), toxicity.fit(docs, labels)
+    assert sizes and max(sizes) < toxicity.ORDINARY_BYTES + toxicity.TOXIC_BYTES + 1000
+    by_id = lambda x: sorted(x.collect(), key=lambda r: r.doc_id)
+    rated, known = by_id(common.labelled_sample(docs, quality.grades(labels).where("grade is not null"), ["grade"], quality.SAMPLE)), by_id(common.labelled_sample(docs, labels, ["toxic"], toxicity.SAMPLE))
+    want = quality.train(quality.features(pa.array([r.text for r in rated])), np.asarray([r.grade for r in rated]))
+    assert q.grades == want.grades and np.allclose(q.weights, want.weights, atol=1e-3) and np.allclose(q.thresholds, want.thresholds, atol=1e-3)
+    want = toxicity.train([r.text for r in known], [int(r.toxic or 0) for r in known])
+    assert (t.ordinary, t.toxic) == (want.ordinary, want.toxic) and np.allclose(t.weights, want.weights) and np.allclose(t.mean, want.mean)
+
+
 def test_toxicity_learns_from_all_labelled_texts(monkeypatch):
     rng = np.random.default_rng(7)
     text = lambda n: " ".join(rng.choice(WORDS, n))
