@@ -27,8 +27,8 @@ from .tokenize import Cache, Distinct
 
 #: Bytes of the words that one query takes.
 BYTES_EACH = 40_000
-#: Chunks of one generation of a worker's cache, each of about 160 bytes.
-CHUNKS_HELD = 600_000
+#: Chunks of one generation of a worker's cache, each of about 190 bytes.
+CHUNKS_HELD = 400_000
 
 #: A row's key p is the word's number and the row's place in it; next is the key of the row that follows, after its token, c the rank
 #: and place of the pair of both in one number (null: no pair). Rows that are contracted into the one before have no token.
