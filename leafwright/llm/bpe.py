@@ -3,9 +3,11 @@
 The rank file's vocabulary is a merge table: a row (l, r, m) for every way to split token m into two tokens. The distinct
 matches of the pattern in a batch become token-position rows of their bytes, each with the place and token of the row that follows it
 and, joined from the merge table, the rank of the pair of both. Every step of one recursive query contracts each word's leftmost pair of
-least rank and joins the two pairs that this changes with the merge table again, until no word has a pair. The recursion is keyed by
-place, so it keeps each row's newest state only: memory is in proportion to the bytes, time to the square of a word's length. Ordered
-aggregation then gives a word's ids and decodes them to bytes. A document's ids are those of its matches in order.
+least rank and joins the two pairs that this changes with the merge table again, until no word has a pair. Words of up to SHORT bytes,
+nearly all, hand their rows from step to step until they are done, which needs no key; their states of all steps are SHORT / 2 rows a
+byte at most. For longer words the recursion is keyed by place, so it keeps each row's newest state only: memory is in proportion to
+the bytes, time to the square of a word's length. Ordered aggregation then gives a word's ids and decodes them to bytes. A document's
+ids are those of its matches in order.
 
 Chunks of text seen before are taken from a bounded cache of the worker. Null texts are empty; they have no ids. Very long texts are
 encoded whole, a piece of a batch each. Rows pass through one by one: repeated rows, ties, null ids and empty tables need no care,
@@ -25,8 +27,8 @@ from pyspark.sql import functions as F
 from . import common
 from .tokenize import Cache, Distinct
 
-#: Bytes of the words that one query takes.
-BYTES_EACH = 40_000
+#: Bytes of the words that one query takes, of long and of short ones, and the bytes of a short one (255 at most, as _SHORT packs places).
+BYTES_EACH, BYTES_SHORT, SHORT = 40_000, 100_000, 32
 #: Chunks of one generation of a worker's cache, each of about 190 bytes.
 CHUNKS_HELD = 400_000
 
@@ -50,6 +52,26 @@ SELECT p >> 32 AS word, list(tok::INTEGER ORDER BY p) AS ids, string_agg(t.hex,
 FROM s JOIN tokens t ON t.id = s.tok GROUP BY 1 ORDER BY 1
 """
 
+#: The same for short words, a row each token: w and i are the word and the place of the token's last byte, next is the next row's place,
+#: c packs the rank and both places. The second of a contracted pair takes the token, so a row changes by its word's pair alone.
+_SHORT = """
+WITH RECURSIVE s(w, i, tok, next, after, c, n) AS (
+  SELECT w, i, tok, next, after, (m << 16) | (i << 8) | next, 0 FROM start LEFT JOIN merges ON pair = (tok::BIGINT << 20 | after)
+  UNION ALL
+  (WITH best AS MATERIALIZED (
+    SELECT w, (low >> 16)::INTEGER AS m, ((low >> 8) & 255)::INTEGER AS p, (low & 255)::INTEGER AS q
+    FROM (SELECT w, min(c) AS low FROM s GROUP BY w) WHERE low IS NOT NULL),
+  moved AS (
+    SELECT s.w, i, CASE WHEN i = q THEN m ELSE tok END AS tok, CASE WHEN next = p THEN q ELSE next END AS next, CASE WHEN next = p THEN m ELSE after END AS after,
+      CASE WHEN i = q OR next = p THEN NULL ELSE c END AS c, n + 1 AS n, i = q OR next = p AS fresh
+    FROM s JOIN best ON s.w = best.w WHERE i <> p)
+  SELECT w, i, tok, next, after, coalesce(c, (m << 16) | (i << 8) | next), n FROM moved LEFT JOIN merges ON pair = CASE WHEN fresh THEN tok::BIGINT << 20 | after END)
+)
+SELECT w AS word, list(tok ORDER BY i) AS ids, string_agg(t.hex, '' ORDER BY i) AS hex
+FROM s JOIN (SELECT w, max(n) AS n FROM s GROUP BY w) AS newest USING (w, n) JOIN tokens t ON t.id = s.tok GROUP BY w ORDER BY w
+"""
+_INTEGERS = pa.schema([(c, pa.int32()) for c in ("w", "i", "tok", "next", "after")])
+
 
 class Bpe:
     """The encoder of one worker: ids and decoded bytes of words."""
@@ -75,17 +97,23 @@ class Bpe:
         out: list = [(b"", b"")] * len(words)
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         order = np.argsort(lengths, kind="stable")  # words of like length take as many steps
-        parts = np.cumsum(lengths[order]) // BYTES_EACH
+        long_ = lengths[order] > SHORT
+        parts = np.where(long_, np.cumsum(lengths[order] * long_) // BYTES_EACH, -1 - np.cumsum(lengths[order]) // BYTES_SHORT)
         for own in np.split(order, np.flatnonzero(np.diff(parts)) + 1):
             sizes = lengths[own]
             if not sizes.sum():
                 continue
             place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            p = (np.repeat(np.arange(len(own)), sizes) << 32) | place
+            word = np.repeat(np.arange(len(own)), sizes)
             tok = self.single[np.frombuffer(b"".join([words[i] for i in own.tolist()]), np.uint8)]
             last = place == np.repeat(sizes, sizes) - 1
-            start = pa.table({"p": p, "tok": tok, "next": pa.array(p + 1, mask=last), "after": pa.array(np.append(tok[1:], 0), mask=last)})  # noqa: F841
-            got = self.db.sql(_STEP).to_arrow_table()
+            after = pa.array(np.append(tok[1:], 0), mask=last)
+            if sizes[-1] <= SHORT:
+                start = pa.table({"w": word, "i": place, "tok": tok, "next": pa.array(place + 1, mask=last), "after": after}).cast(_INTEGERS)
+            else:
+                p = (word << 32) | place
+                start = pa.table({"p": p, "tok": tok, "next": pa.array(p + 1, mask=last), "after": after})  # noqa: F841
+            got = self.db.sql(_SHORT if sizes[-1] <= SHORT else _STEP).to_arrow_table()
             ids = got["ids"].combine_chunks()
             data, at = np.asarray(ids.values).astype("<u4").tobytes(), (4 * np.asarray(ids.offsets)).tolist()
             for i, a, b, h in zip(own[np.asarray(got["word"])].tolist(), at, at[1:], got["hex"].to_pylist(), strict=False):

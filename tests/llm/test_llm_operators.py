@@ -188,6 +188,20 @@ def test_long_words():
     assert got == [enc.encode_ordinary(w) for w in words]
 
 
+def test_short_words_need_no_keyed_recursion(monkeypatch):
+    b, enc = bpe.Bpe(common.tokenizer_file(MULTI), pattern()), _tiktoken(MULTI)
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list(letters), n)) for letters in ("ab", "etaoinsr", "abcdeéñ中") for n in range(1, bpe.SHORT + 1) for _ in range(9)]
+    words = [w for w in words if len(w.encode()) <= bpe.SHORT] + ["a" * n for n in range(1, bpe.SHORT + 1)]
+    with monkeypatch.context() as m:
+        m.setattr(bpe, "_STEP", None)
+        got = b.encode_words([w.encode() for w in words])
+    assert [np.frombuffer(x[0], "<u4").tolist() for x in got] == [enc.encode_ordinary(w) for w in words]
+    assert [x[1].decode() for x in got] == words
+    both = [w.encode() for w in ["b" * (bpe.SHORT + 1), *words[:40], "", "ab" * bpe.SHORT]]
+    assert [np.frombuffer(x[0], "<u4").tolist() for x in b.encode_words(both)] == [enc.encode_ordinary(w.decode()) for w in both]
+
+
 def test_bpe_encodes_a_chunk_once_in_a_worker():
     b = bpe.Bpe(common.tokenizer_file(MULTI), pattern())
     keys = [b" w%d" % i for i in range(400_000)]
