@@ -79,11 +79,17 @@ def remove(spark: SparkSession, path: str) -> None:
 
 def release(spark: SparkSession, where: str = "", *names: str) -> None:
     """Delete scratch tables that are read no more, and let Spark drop the shuffle files of frames that are out of use: it does
-    so when the driver collects its garbage, which may otherwise be long after they have filled the disks."""
+    so when the driver collects its garbage, which may otherwise be long after they have filled the disks.
+
+    Executors collect theirs too, as a JVM gives back heap that it has once taken only then. While one starts a process (twice
+    for each file of a table, where Hadoop has no native library) all it has taken counts a second time.
+    """
     for name in names:
         remove(spark, f"{where}/{name}")
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.expr("reflect('java.lang.System', 'gc')").alias("x")).agg(F.count("x")).collect()
 
 
 def tokenizer_file(name: str, folder: str | None = None) -> str:

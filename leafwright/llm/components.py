@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
+#: Edges of one file of a step's table, where there are more than one for each core.
+EDGES_A_FILE = 100_000
+
 
 def _least(edges: DataFrame) -> DataFrame:
     """Edges (u, v) with, for each u, the least of its neighbours."""
@@ -24,6 +27,7 @@ def connected(edges: DataFrame, where: str, name: str = "cc", most: int = 60) ->
 
     Each step reads and writes a table in the scratch folder; only a count and two sums reach the driver. Stars are joined
     on their centre by sort-merge joins that adaptive execution can split, so a component may hold any share of the rows.
+    The tables have files by their number of edges, not by the session's partitions: a file costs two processes on local disks.
     Null ends and loops are left out; an empty table gives an empty result.
     """
     spark = edges.sparkSession
@@ -31,12 +35,13 @@ def connected(edges: DataFrame, where: str, name: str = "cc", most: int = 60) ->
         edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), where, f"{name}-0"
     )
     state = _state(e)
+    files = lambda: max(spark.sparkContext.defaultParallelism, -(-state[0] // EDGES_A_FILE))
     for i in range(1, most):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _least(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
         near = _least(large)
         small = near.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").where("u > v").distinct()
-        after = common.save(small, where, f"{name}-{i}")
+        after = common.save(small.coalesce(files()), where, f"{name}-{i}")
         common.remove(spark, f"{where}/{name}-{i - 1}")
         e, before, state = after, state, _state(after)
         if state == before:
@@ -44,4 +49,4 @@ def connected(edges: DataFrame, where: str, name: str = "cc", most: int = 60) ->
     else:
         raise RuntimeError("components did not settle")
     stars = e.select(F.col("u").alias("id"), F.col("v").alias("component"))
-    return stars.union(stars.select(F.col("component").alias("id"), "component").distinct())
+    return stars.union(stars.select(F.col("component").alias("id"), "component").distinct()).coalesce(files())

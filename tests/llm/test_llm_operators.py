@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from leafwright.llm import bpe, common, fingerprints, media, mixing, near_dedup, quality, token_counts, token_files, toxicity, warc
+from leafwright.llm import bpe, common, components, fingerprints, media, mixing, near_dedup, quality, token_counts, token_files, toxicity, warc
 from leafwright.llm.queries import MULTI, pattern
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, hi string, size string"
@@ -188,6 +188,32 @@ def test_long_words():
     assert got == [enc.encode_ordinary(w) for w in words]
 
 
+def test_component_tables_have_few_files(spark, tmp_path):
+    keys = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        got = components.connected(spark.range(1, 400).selectExpr("id AS a", "id - id % 10 AS b"), f"file://{tmp_path}")
+        assert {(r.id, r.component) for r in got.collect()} == {(i, i - i % 10) for i in range(400)}
+        tables = [len(list(t.glob("part-*"))) for t in tmp_path.iterdir()]
+        assert tables and max(tables) <= spark.sparkContext.defaultParallelism < 40
+        assert got.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_executors_give_back_heap(spark):
+    beans = lambda: sum(b.getCollectionCount() for b in spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans())
+    alone = beans()
+    spark.sparkContext._jvm.System.gc()
+    one = beans() - alone
+    start = beans()
+    common.release(spark)  # here driver and executor are one JVM: it collects for both
+    assert beans() - start > one
+
+
 def test_short_words_need_no_keyed_recursion(monkeypatch):
     b, enc = bpe.Bpe(common.tokenizer_file(MULTI), pattern()), _tiktoken(MULTI)
     rng = np.random.default_rng(3)
